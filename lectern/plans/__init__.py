@@ -1,0 +1 @@
+"""Spark plans of the engine."""
