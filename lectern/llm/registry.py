@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import toxicity
+from lectern.llm import licenses, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_toxicity": toxicity.op9_toxicity}
+    return {
+        "op8_pii": pii.op8_pii,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_license_scan": licenses.op10_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
