@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import licenses, pii, toxicity
+from lectern.llm import licenses, packing, pii, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op7_training_order": shards.op7_training_order,
         "op8_pii": pii.op8_pii,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
