@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, licenses, packing, pii, shards, toxicity
+from lectern.llm import decontamination, licenses, ngram_join, packing, pii, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_training_order": shards.op7_training_order,
         "op8_pii": pii.op8_pii,
