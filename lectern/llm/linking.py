@@ -45,9 +45,11 @@ def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int =
     verify(pairs with a, b) returns those that are links; fits(left, right) is a cheap condition on two rows of one key."""
     columns = postings.columns
     extra = [c for c in columns if c != "key"]
-    several = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("rank", "id")).alias("first")).where("lo <> hi")
-    bases = stage(several.select("key", F.col("first.id").alias("base")), "bases")
-    active = stage(postings.join(bases, "key"), "active")
+    several = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
+    shared = stage(postings.join(several, "key"), "shared")
+    first = shared.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    bases = stage(first.select("key", F.col("first.id").alias("base")), "bases")
+    active = stage(shared.join(bases, "key"), "active")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     left, right = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
