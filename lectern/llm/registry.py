@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, licenses, ngram_join, packing, pii, shards, toxicity
+from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality.op1_quality_rules,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_training_order": shards.op7_training_order,
         "op8_pii": pii.op8_pii,
