@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, shards, toxicity
+from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, secrets, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_line_dedup": line_dedup.op5_line_dedup,
