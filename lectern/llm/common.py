@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +61,24 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. Python's own keyed hash: PySpark gives all workers one PYTHONHASHSEED; without it they would differ."""
+    if os.environ.get("PYTHONHASHSEED", "random") == "random":
+        raise RuntimeError("set PYTHONHASHSEED, as PySpark does for its workers")
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each `size` neighbours in `codes`, by position of the first."""
+    n = len(codes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out ^= codes[k : k + n]
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+    return out

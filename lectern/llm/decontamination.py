@@ -16,14 +16,13 @@ item is one window of its own length; repeated rows of a document or an item cou
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, id_text, map_batches, stage
+from lectern.llm.common import documents, id_text, map_batches, stage, window_hashes, word_hashes
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -32,89 +31,66 @@ LITERALS = 3
 #: Benchmark windows that may be looked up inside the scan: 8 bytes each.
 LOOKUP_LIMIT = 2_000_000
 
-WORD = re.compile(r"[^\W_]+")
-#: A capitalised word that follows a word or a comma: not the start of a sentence.
-NAME = re.compile(r"(?<=[^\W_][, ])( ?)([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)")
-NUMBER, PERSON, UNIT = "<number>", "<name>", "<unit>"
+#: A capital letter and a small one after a space: a name, if a word or a comma comes before.
+NAME = re.compile(r" [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
+#: Signs beyond ASCII that are no part of a word.
+SIGNS = re.compile(r"[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f]")
+ASCII_SIGNS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion eins zwei drei vier fünf sechs sieben acht neun zehn deux trois quatre cinq sept huit neuf dix dos tres cuatro cinco seis siete ocho nueve diez".split())
 UNITS = frozenset("kg g mg km m cm mm mi ft yd lb oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks year years dollar dollars usd eur euro euros pound pounds percent meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres celsius fahrenheit".split())
-NAME_MARK = "qzqnamemarkqzq"
+#: The placeholders as words of a text: a letter that no text is expected to hold, before the kind.
+NUMBER, PERSON, UNIT = (f"\ue000{kind}".encode() for kind in ("number", "name", "unit"))
+SLOT_WORDS = {w.encode(): NUMBER for w in NUMBER_WORDS} | {w.encode(): UNIT for w in UNITS}
+DIGITS = frozenset(b"0123456789")
 
 
-def _hash(word: str) -> int:
-    import xxhash
+def words_of(text: str) -> list[bytes]:
+    """The lower-case words of a text."""
+    return (text if text.isascii() else SIGNS.sub(" ", text)).lower().encode().translate(ASCII_SIGNS).split()
 
-    return xxhash.xxh3_64_intdigest(word)
 
+def template(text: str) -> list[bytes]:
+    """The words of a text, with placeholders for names, numbers and units; as many as words_of gives."""
 
-class Codes(dict):
-    """Word (or the name mark) to the hash of its template word; at most a few hundred thousand are kept."""
+    def name(m: re.Match) -> str:
+        before = text[m.start() - 1 : m.start()]
+        return " \ue000name" if before.isalnum() or before == "," else m[0]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = _hash(canonical(word))
-        return out
+    out = words_of(NAME.sub(name, text))
+    return [NUMBER if w[0] in DIGITS else SLOT_WORDS.get(w, w) for w in out]
 
 
-def canonical(word: str) -> str:
-    low = word.lower()
-    if word == NAME_MARK:
-        return PERSON
-    if low[0].isdigit() or low in NUMBER_WORDS:
-        return NUMBER
-    return UNIT if low in UNITS else low
-
-
-SLOT_CODES = np.array(sorted(_hash(x) for x in (NUMBER, PERSON, UNIT)), np.uint64)
-
-
-@dataclass
-class Template:
-    words: list[str]
-    codes: np.ndarray
-    slots: np.ndarray
-
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of each window; 0 where too few words are literal."""
-        n = len(self.codes) - size + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        out, literal = np.full(n, size, np.uint64), np.zeros(n, int)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                out = (out ^ self.codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-                literal += ~self.slots[k : k + n]
-        out[literal < min(LITERALS, size)] = 0
-        return out
+def windows(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of each window; 0 where too few words are literal."""
+    n = len(words) - size + 1
+    out = window_hashes(word_hashes(words), size)
+    slots = np.fromiter((w in PLACEHOLDERS for w in words), bool, len(words))
+    literal = np.convolve(~slots, np.ones(size, int), "valid") if n > 0 else np.zeros(0)
+    out[literal < min(LITERALS, size)] = 0
+    return out
 
-    def values(self, at: int, size: int) -> list[str]:
-        return [self.words[k].lower() for k in range(at, at + size) if self.slots[k]]
 
+PLACEHOLDERS = frozenset((NUMBER, PERSON, UNIT))
 
-def template(text: str, codes: Codes) -> Template:
-    words = WORD.findall(text)
-    marked = WORD.findall(NAME.sub(lambda m: m[1] + NAME_MARK, text)) if NAME.search(text) else words
-    if len(marked) != len(words):  # a name that touches an odd character: keep its words as they are
-        marked = words
-    out = np.fromiter((codes[w] for w in marked), np.uint64, len(marked))
-    return Template(words, out, np.isin(out, SLOT_CODES))
+
+def values(text: str, found: list[bytes], at: int, size: int) -> list[str]:
+    """What stands at the placeholders of a window of `found`, the template of `text`."""
+    own = words_of(text)
+    return [own[k].decode() for k in range(at, at + size) if found[k] in PLACEHOLDERS] if len(own) == len(found) else []
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """item_id, item_at, h, item_values, n_windows: the item's usable windows; a short item has one window of its own length."""
-    state = Codes()
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(6)]
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = template(text, state)
-            width = min(size, len(t.codes))
-            found = [(at, int(h)) for at, h in enumerate(t.windows(width).tolist() if width else []) if h]
+            t = template(text)
+            width = min(size, len(t))
+            found = [(at, h) for at, h in enumerate(windows(t, width).view(np.int64).tolist() if width else []) if h]
             for at, h in found:
-                for column, v in zip(out, (item, at, width, h - (1 << 64) if h >= 1 << 63 else h, t.values(at, width), len(found))):
+                for column, v in zip(out, (item, at, width, h, values(text, t, at, width), len(found))):
                     column.append(v)
         return out
 
@@ -124,24 +100,28 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 def document_windows(docs: DataFrame, widths: list[int], lookup: np.ndarray | None) -> DataFrame:
     """doc_id, doc_at, h, doc_values of the windows in `lookup`, or of all."""
-    state = Codes()
-    # One bit of memory for each of 4M hash values answers for nearly all windows that match nothing.
-    table = np.zeros(1 << 22, bool)
+    # One byte for each of 4M hash values answers for nearly all windows that match nothing.
+    table = np.full(1 << 22, lookup is None)
     if lookup is not None:
         table[(lookup & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(4)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = template(text, state)
-            for width in widths:
-                h = t.windows(width)
-                at = np.flatnonzero(table[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] if lookup is not None else h)
-                if lookup is not None and len(at):
-                    at = at[np.isin(h[at], lookup)]
-                for k in at.tolist():
-                    for column, v in zip(out, (doc_id, k, int(h[k].astype(np.int64)), t.values(k, width))):
-                        column.append(v)
+        texts = batch.column(1).to_pylist()
+        found = [template(t) for t in texts]
+        starts = np.cumsum([0, *map(len, found)])
+        every = [w for t in found for w in t]
+        for width in widths:
+            h = windows(every, width)
+            at = np.flatnonzero(table[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] & (h != 0))
+            if lookup is not None:
+                at = at[np.isin(h[at], lookup)]
+            row = np.searchsorted(starts, at, "right") - 1
+            inside = at + width <= starts[row + 1]  # not across two texts
+            for k, r in zip(at[inside].tolist(), row[inside].tolist()):
+                own = k - int(starts[r])
+                for column, v in zip(out, (batch.column(0)[r].as_py(), own, int(h[k].astype(np.int64)), values(texts[r], found[r], own, width) if PLACEHOLDERS.intersection(found[r][own : own + width]) else [])):
+                    column.append(v)
         return out
 
     return map_batches(id_text(docs), run, "doc_id long, doc_at int, h long, doc_values array<string>")
@@ -155,7 +135,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
     if items.count() <= lookup_limit:
         lookup = np.array(sorted({r["h"] for r in items.select("h").distinct().collect()}), np.int64).astype(np.uint64)
         lookup.sort()
-    hits = document_windows(docs, widths, lookup).join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    hits = stage(document_windows(docs, widths, lookup).join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at")), "hits")
     pair = ["doc_id", "item_id"]
     rows = hits.groupBy(*pair, "shift", "item_at", "n_windows").agg(F.first("item_values").alias("item_values"), F.first("doc_values").alias("doc_values"))
     # Alignments on which one item value stands against two document values are out.
