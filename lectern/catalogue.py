@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.operators import learning
+from lectern.operators import intervals, learning, metrics
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning,):
+for module in (learning, intervals, metrics):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
