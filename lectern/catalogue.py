@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.operators import intervals, learning, metrics
+from lectern.operators import corpus, intervals, learning, metrics, retrieval
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics):
+for module in (learning, intervals, metrics, retrieval, corpus):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
