@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.operators import corpus, intervals, learning, metrics, retrieval
+from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, retrieval, structure
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, structure):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
