@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, retrieval, structure
+from lectern.streaming import activity
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, structure):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, structure, activity):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
