@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, retrieval, structure
+from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, retrieval, structure, upkeep
 from lectern.streaming import activity
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, structure, activity):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, structure, upkeep, activity):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
