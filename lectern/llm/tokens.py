@@ -1,18 +1,23 @@
 """Token ids by a public tokenizer that cuts at white space, with a word cache in each Python worker.
 
-The tokenizers this serves drop white space before anything else, so the ids of a text are those of its words in order;
-each distinct word is encoded once for as long as the cache, of bounded size, holds it.
+The tokenizers this serves drop white space and cut letters from punctuation before anything else, so the ids of a text are
+those of its words in order, and the ids of a word that ends in plain punctuation are those of its two parts. Each distinct
+word is encoded once for as long as the cache holds it; the cache has two generations of bounded size, and a word that is
+met again moves to the younger one.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-#: Words kept by one worker; beyond that the cache starts anew.
-CACHE_WORDS = 250_000
+#: Words in one generation of a worker's cache.
+CACHE_WORDS = 400_000
+#: Punctuation that is cut off a word's end.
+PUNCTUATION = b".,;:!?#*$%&|"
 
-_tokenizers: dict[str, object] = {}
-_caches: dict[str, dict[str, bytes]] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def default_path() -> str:
@@ -21,23 +26,60 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class WordEncoder:
+    """`known`: word, with A-Z in lower case as the tokenizer has it, to its ids as unsigned little-endian 32-bit numbers."""
+
+    def __init__(self, path: str):
+        # Spark runs a task for each core; the library's own threads would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
+        core = word.rstrip(PUNCTUATION)
+        if core and len(core) < len(word) and b"'" not in word and b"<|" not in word and (core.isalpha() or core.decode().lower()[-1].isalpha()):
+            return core, word[len(core) :]
+        return None
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that `known` holds all of `words`."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.older, self.known, new = self.known, {}, [*words]
+        known, older = self.known, self.older
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        whole: set[bytes] = set()
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+            elif two := self.parts(w):
+                split[w] = two
+                for x in two:
+                    if x in older:
+                        known[x] = older[x]
+                    elif x not in known:
+                        whole.add(x)
+            else:
+                whole.add(w)
+        todo = [*whole]
+        if todo:
+            for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, tail) in split.items():
+            known[w] = known[core] + known[tail]
 
 
 def encode(text: str, path: str) -> bytes:
     """The ids of `text` as unsigned little-endian 32-bit numbers."""
-    cache = _caches.setdefault(path, {})
-    words = text.replace("\n", " ").split(" ")
-    new = [w for w in set(words) if w not in cache]
-    if new:
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = [*set(words)]
-        for w, e in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join([cache[w] for w in words])
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    encoder = _encoders[path]
+    words = text.encode().lower().split()
+    try:
+        return b"".join(map(encoder.known.__getitem__, words))
+    except KeyError:
+        encoder.learn(set(words))
+        return b"".join(map(encoder.known.__getitem__, words))
