@@ -3,9 +3,10 @@
 Rows that could be linked share a key. Pairs are verified in rounds:
 
 - Star rounds compare each member of a key with one pivot, so a key of m members gives m - 1 pairs. The first pivot is the
-  member of least rank; later ones are taken at random from the first pivot's component, against members outside it.
-- Members that are by then in one component need no more pairs. The last round verifies every pair of a key whose
-  components still differ, so no link between two components is lost.
+  member of least rank, and in the first round a row meets only the pivot that it shares most keys with; later pivots are
+  taken at random from the first pivot's component, against members outside it.
+- Members that are by then in one component need no more pairs, and no pair is verified twice. The last round verifies
+  every pair of a key whose components still differ, so no link between two components is lost.
 
 Components are the smallest id reachable, by hooking to the smallest neighbour and pointer jumping, each step a written table.
 """
@@ -39,19 +40,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int = 3) -> DataFrame:
-    """id, component of every id that has a link; `postings` has key, id, rank and what `fits` reads.
+def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int = 2) -> DataFrame:
+    """id, component of every id that has a link; `postings` has key, id, rank and what `fits` reads. It is a written table, best
+    without the keys of one row alone.
 
     verify(pairs with a, b) returns those that are links; fits(left, right) is a cheap condition on two rows of one key."""
     columns = postings.columns
     extra = [c for c in columns if c != "key"]
-    several = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
-    shared = stage(postings.join(several, "key"), "shared")
-    first = shared.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    first = postings.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     bases = stage(first.select("key", F.col("first.id").alias("base")), "bases")
-    active = stage(shared.join(bases, "key"), "active")
+    active = stage(postings.join(bases, "key"), "active")
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    tested: DataFrame | None = None
     left, right = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
     for turn in range(star_rounds + 1):
         if active.isEmpty():
@@ -62,8 +63,9 @@ def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int =
             named = lambda c, to: labels.select(F.col("id").alias(c), F.col("component").alias(to))
             with_comp = active.join(named("id", "component"), "id", "left").join(named("base", "base_component"), "base", "left")
             with_comp = with_comp.withColumn("component", F.coalesce("component", "id")).withColumn("base_component", F.coalesce("base_component", "base"))
+            with_comp = stage(with_comp, "with_component")
             mixed = with_comp.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            with_comp = stage(stage(with_comp, "with_component").join(stage(mixed, "mixed"), "key"), "mixed_keys")
+            with_comp = stage(with_comp.join(stage(mixed, "mixed"), "key", "left_semi"), "mixed_keys")
             active = with_comp.select("key", *extra, "base")
         rows = with_comp.select("key", "component", "base_component", *(F.col(c).alias(f"r_{c}") for c in extra))
         if turn < star_rounds:
@@ -74,8 +76,14 @@ def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int =
         else:
             others = with_comp.select("key", F.col("component").alias("l_component"), *(F.col(c).alias(f"l_{c}") for c in extra))
             pairs = rows.join(others, "key").where("component <> l_component AND l_id < r_id")
-        pairs = pairs.where(fits(left, right)).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-        found = stage(verify(stage(pairs, "pairs")).select("a", "b"), "links")
+        pairs = pairs.where(fits(left, right))
+        if turn == 0:
+            shared = pairs.groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("n"))
+            pairs = shared.groupBy("r_id").agg(F.max(F.struct("n", "l_id")).alias("best")).select(F.col("best.l_id").alias("l_id"), "r_id")
+        pairs = pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = stage(verify(pairs).select("a", "b"), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)

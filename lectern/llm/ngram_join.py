@@ -17,6 +17,7 @@ one shingle; repeated rows are equal sets; rows of one id count as one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ASCII_LOWER, WORD, documents, id_text, map_batches, stage
+from lectern.llm.common import documents, id_text, map_batches, stage, window_hashes, word_hashes
 from lectern.llm.linking import connect
 
 WIDTH = 4
@@ -37,33 +38,25 @@ MOST_COMMON = 1_000_000
 LEAST_LISTS = 16
 #: Sets above this size always go into lists.
 SMALL_LIMIT = 20
+#: Classes of shingles that are counted for each set: the sum of the smaller counts bounds an overlap before sets are read.
+CLASSES = 64
 #: Bits of the filter for the documents whose sets are needed: 4 MB whatever the corpus.
 FILTER_BITS = 1 << 25
 
-_codes: dict[str, int] = {}
-
-
-def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of `text`."""
-    words = WORD.findall(text.translate(ASCII_LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_codes) > 300_000:
-        _codes.clear()
-    codes = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        c = _codes.get(w)
-        if c is None:
-            c = _codes[w] = xxhash.xxh3_64_intdigest(w)
-        codes[k] = c
-    size = min(width, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = (out ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(31)
-    return np.unique(out)
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of one text."""
+    return np.unique(window_hashes(word_hashes(words), min(width, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def batch_shingles(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The shingle set of each text; all texts of the batch are hashed at once. bytes.lower() and split() are the contract's: A-Z and six separators."""
+    words = [t.lower().split() for t in texts.cast(pa.binary()).to_pylist()]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    hashes = window_hashes(word_hashes([w for own in words for w in own]), width)
+    for own, n, end in zip(words, sizes.tolist(), ends.tolist()):
+        yield np.unique(hashes[end - n : end - width + 1]) if n >= width else shingles(own, width)
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -100,22 +93,22 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits), and the beginning of the set in hash order: half as long again as a prefix."""
+    """doc_id, n_shingles, set_key (128 bits), and the beginning of the set in hash order: a prefix and a little more."""
 
     def run(batch: pa.RecordBatch):
         sizes, keys, heads = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, width)
+        for s in batch_shingles(batch.column(1), width):
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            heads.append(_signed(s[: prefix_length(len(s), percent) * 3 // 2 + 4]) if len(s) > 5 else [])
+            heads.append(_signed(s[: prefix_length(len(s), percent) + 4]) if len(s) > 5 else [])
         return [batch.column(0), sizes, keys, heads]
 
     return map_batches(id_text(docs), run, "doc_id long, n_shingles long, set_key binary, head array<long>")
 
 
-def signatures(docs: DataFrame, common: np.ndarray, boundary: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, and (key, pos) of every signature; rank: how many of the prefix are rare (the fewer, the more central)."""
+def signatures(docs: DataFrame, firsts: np.ndarray, common: np.ndarray, boundary: int, shared: np.ndarray | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """id, n, rank and the (key, pos) of each signature of the documents in the filter `firsts`; rank: how many shingles are
+    rare (the fewer, the more central). With `shared`, only keys that this filter holds."""
 
     def small(s: np.ndarray) -> list[int]:
         with np.errstate(over="ignore"):
@@ -131,8 +124,8 @@ def signatures(docs: DataFrame, common: np.ndarray, boundary: int, width: int =
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(5)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingles(text, width)
+        picked = pa.array(np.flatnonzero(holds(firsts, batch.column(2).to_numpy())), pa.int64())
+        for doc_id, s in zip(batch.column(0).take(picked).to_pylist(), batch_shingles(batch.column(1).take(picked), width)):
             n = len(s)
             if n < 6:  # only equal sets are similar
                 continue
@@ -149,20 +142,29 @@ def signatures(docs: DataFrame, common: np.ndarray, boundary: int, width: int =
             if n <= boundary:
                 keys.append(np.array(small(s), np.uint64))
                 places.append(np.zeros(len(keys[-1]), np.int64))
-            for column, v in zip(out, (doc_id, n, rare, _signed(np.concatenate(keys)), np.concatenate(places).astype(np.int32))):
-                column.append(v)
+            key, place = np.concatenate(keys), np.concatenate(places).astype(np.int32)
+            if shared is not None:
+                both = holds(shared, (key % np.uint64(FILTER_BITS)).astype(np.int64))
+                key, place = key[both], place[both]
+            if len(key):
+                for column, v in zip(out, (doc_id, n, rare, _signed(key), place)):
+                    column.append(v)
         return out
 
-    return map_batches(id_text(docs), run, "id long, n long, rank long, keys array<long>, places array<int>")
+    return map_batches(id_text(docs).withColumn("bit", bit_of("doc_id")), run, "id long, n long, rank long, keys array<long>, places array<int>")
 
 
 def bit_of(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def fixed_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """One bit for each hash of `column`: a bitmap of FILTER_BITS bits, whatever the number of ids."""
-    at = bit_of(column) + 1  # the bitmap functions number values from one
+def holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def fixed_filter(ids: DataFrame, bit) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, whatever the number of rows: the bits that `bit` gives. It may hold more than was put in, never less."""
+    at = bit + 1  # the bitmap functions number values from one
     parts = ids.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
@@ -170,18 +172,16 @@ def fixed_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def wanted_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id, shingles of the documents in `ids` (id): the filter picks them inside the scan, a join drops its few errors."""
-    bits = fixed_filter(ids, "id")
+def wanted_sets(docs: DataFrame, ids: DataFrame, counts: bool, width: int = WIDTH) -> DataFrame:
+    """id and the shingles, or their counts by class, of the documents in `ids` (id): the filter picks them inside the scan, a join drops its few errors."""
+    bits = fixed_filter(ids, bit_of("id"))
 
     def run(batch: pa.RecordBatch):
-        at = batch.column(2).to_numpy()
-        keep = (bits[at >> 3] >> (at & 7)) & 1
-        chosen = np.flatnonzero(keep)
-        texts = batch.column(1).take(pa.array(chosen)).to_pylist()
-        return [batch.column(0).take(pa.array(chosen)), [_signed(shingles(t, width)) for t in texts]]
+        picked = pa.array(np.flatnonzero(holds(bits, batch.column(2).to_numpy())), pa.int64())
+        sets = [*batch_shingles(batch.column(1).take(picked), width)]
+        return [batch.column(0).take(picked), [np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES) if counts else _signed(s) for s in sets]]
 
-    rows = map_batches(id_text(docs).withColumn("bit", bit_of("doc_id")), run, "id long, shingles array<long>")
+    rows = map_batches(id_text(docs).withColumn("bit", bit_of("doc_id")), run, "id long, counts array<int>" if counts else "id long, shingles array<long>")
     return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -190,40 +190,44 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sets = stage(sets_of(docs, width, percent), "sets")
     classes = stage(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
 
-    firsts = sets.join(classes.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")), "left_semi")
-    lists = firsts.select(F.explode("head").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
-    lists = stage(lists, "lists")
-    whole = firsts.agg(F.sum(F.size("head")).alias("n")).collect()[0]["n"] or 0
-    shared = lists.agg(F.sum(F.col("lists") * F.col("lists")).alias("n")).collect()[0]["n"] or 0
+    heads = sets.select(F.explode("head").alias("h"))
+    lists = stage(heads.groupBy("h").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1"), "lists")
+    whole = sets.agg(F.sum(F.size("head"))).collect()[0][0] or 0
+    shared = lists.agg(F.sum(F.least("lists", F.lit(LEAST_LISTS)))).collect()[0][0] or 0
     least = max(LEAST_LISTS, whole // MOST_COMMON)
-    common = np.sort(np.array([r["h"] for r in lists.where(F.col("lists") >= least).select("h").collect()], np.int64).astype(np.uint64))
+    common = np.sort(np.array([r["h"] for r in lists.where(F.col("lists") >= least).select("h").collect()], np.int64).astype(np.uint64))  # at most MOST_COMMON
     sizes = {r["n_shingles"]: r["n"] for r in sets.where(f"n_shingles BETWEEN 1 AND {SMALL_LIMIT * 2}").groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n")).collect()}
-    boundary = choose_boundary(sizes, min(shared, least * whole) / max(whole, 1), percent)
-
-    signed = signatures(docs, common, boundary, width, percent).join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    boundary = choose_boundary(sizes, shared / max(whole, 1), percent)
+
+    # Keys of one document alone make nearly all signatures: they are counted by hash, and only shared ones are kept.
+    firsts = fixed_filter(classes, bit_of("id"))
+    alone = signatures(docs, firsts, common, boundary, None, width, percent)
+    several = stage(alone.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several_keys")
+    # The key's low bits, as signatures() reads them from unsigned numbers.
+    known = fixed_filter(several, F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")))
+    signed = signatures(docs, firsts, common, boundary, known, width, percent).join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
     postings = signed.select("id", "n", "rank", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "id", "n", "rank", F.col("s.places").alias("pos"))
+    kept = stage(postings.join(several, "key", "left_semi"), "postings")
 
     def fits(left, right):
         overlap = F.ceil(F.lit(percent) * (left("n") + right("n")) / (100 + percent))
         return (100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))) & (F.least(left("n") - left("pos"), right("n") - right("pos")) >= overlap)
 
-    held: list[DataFrame] = []
+    sketches = stage(wanted_sets(docs, stage(kept.select("id").distinct(), "sharing"), True, width), "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if not held:
-            held.append(postings_sets())
-        own = held[0]
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        """First by the bound that the class counts give; the sets of what is left are made anew from the texts, so that only they move."""
+        side = lambda df, id_, column, to: df.select(F.col("id").alias(id_), F.col(column).alias(to))
+        bound = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
+        total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
+        maybe = pairs.join(side(sketches, "a", "counts", "x"), "a").join(side(sketches, "b", "counts", "y"), "b")
+        maybe = stage(maybe.where((100 + percent) * bound >= percent * (total("x") + total("y"))).select("a", "b"), "maybe")
+        ids = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets_ = stage(wanted_sets(docs, ids, False, width), "sets_wanted")
+        both = maybe.join(side(sets_, "a", "shingles", "x"), "a").join(side(sets_, "b", "shingles", "y"), "b")
         common_size = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common_size >= percent * (F.size("x") + F.size("y") - common_size)).select("a", "b")
 
-    kept = stage(postings, "postings")
-
-    def postings_sets() -> DataFrame:
-        several = kept.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-        ids = stage(kept.join(several, "key", "left_semi").select("id").distinct(), "several")
-        return stage(wanted_sets(docs, ids, width), "wanted")
-
     labels = connect(kept, verify, fits)
     found = stage(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class")), "found")
     return sets.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
@@ -238,3 +242,13 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.r = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
