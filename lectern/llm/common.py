@@ -38,6 +38,18 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a task takes at a time: what it makes of them in Python is many times as large.
+BATCH_BYTES = 4_000_000
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about BATCH_BYTES; a single larger row stays whole."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable], schema: str | T.StructType) -> DataFrame:
     """Apply `fn` to each Arrow batch; `fn` returns the output columns in schema order, as lists or Arrow arrays."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -46,7 +58,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable], schema:
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             if batch.num_rows:
                 columns = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(fn(batch), arrow)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
