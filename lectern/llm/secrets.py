@@ -159,3 +159,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long").alias(f"n_{RULES[k].kind}")
     return find_secrets(documents(spark, sf_dir)).select("doc_id", *(count(k) for k in range(base)), F.sha2(text(F.filter("spans", lambda s: s["rule"] < base)), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def oracle() -> str:
+    """The same spans in SQL: every rule scans every text."""
+    quoted = lambda t: t.replace("'", "''")
+    one = "SELECT doc_id, {k} AS rule, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS part, regexp_split_to_array(t, '{p}') AS gap, {least} AS least FROM d"
+    rules = " UNION ALL ".join(one.format(k=k, kind=r.kind, p=quoted(r.pattern), g=r.group, least=max(r.least, 1)) for k, r in enumerate(RULES))
+    base = len([r for r in RULES if r.base])
+    counts = ", ".join(f"count(*) FILTER (rule = {k}) AS n_{RULES[k].kind}" for k in range(base))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS ({rules}), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM r),
+s AS (SELECT doc_id, rule, kind, CAST(list_sum(list_transform(gap[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[k]) AS n FROM i WHERE length(part[k]) >= least),
+g AS (SELECT doc_id, {counts}, coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rule) FILTER (rule < {base}), '') AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rule) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{RULES[k].kind}, 0) AS n_{RULES[k].kind}" for k in range(base))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
