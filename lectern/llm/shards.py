@@ -6,9 +6,8 @@ order is a function of key and count alone, needs no sort key to be stored, and
 in ranges; each shard is a file of ids in slot order, so slot s lies at a byte that follows from s: reads are sequential
 and can resume anywhere.
 
-Two passes over the documents: the first counts ids for each input partition, the second cuts and sends the pieces of
-sequences to their shards. Both rely on the input giving the same rows in the same partitions, as a file scan does; the
-second pass checks its counts against the first and fails rather than write a wrong order. A shard is written beside its
+The ids are written once, with each document's place in its input partition; the partitions' totals, one number each, then
+give every document its place in the stream, and the written ids are cut and sent to their shards. A shard is written beside its
 place and then renamed, so a repeated task leaves one whole file.
 
 Defined results: a null or empty text adds the closing id only; repeated rows add their ids again; an empty table writes
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import documents, id_text, shared_folder, shuffle_partitions
+from lectern.llm.common import documents, id_text, shared_folder, shuffle_partitions, stage
 
 ROUNDS = 6
 MASK = (1 << 64) - 1
@@ -66,14 +65,19 @@ def permute(numbers: np.ndarray, count: int, key: int, back: bool = False) -> np
 
 def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048, key: int = 20, sequences_per_shard: int | None = None, close: int = 0, fill: int = 0, dtype: str = "<u2") -> DataFrame:
     """Write the shards under `folder` (by default 64 of them, or as many as 65,536 sequences each make), and return one row for each sequence: slot, sequence, shard, n_ids (without filling), crc32 of its bytes."""
-    rows, spark = id_text(docs).select("text"), docs.sparkSession
-    end, width = np.array([close], "<u4").tobytes(), np.dtype(dtype).itemsize
+    spark, width = docs.sparkSession, np.dtype(dtype).itemsize
+    end = np.array([close], "<u4").tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(tokens.encode(t or "", tokenizer)) // 4 + 1 for b in batches for t in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = [np.frombuffer(tokens.encode(t, tokenizer) + end, "<u4").astype(dtype) for t in batch.column(0).to_pylist()]
+            starts = at + np.cumsum([0, *map(len, ids)])
+            at = int(starts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array([v.tobytes() for v in ids], pa.binary())], ["part", "start", "ids"])
 
-    counted = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}  # one row for each input partition
+    coded = stage(id_text(docs).select("text").mapInArrow(encode, "part int, start long, ids binary"), "ids", "zstd")
+    counted = {r["part"]: r["n"] for r in coded.groupBy("part").agg(F.sum(F.length("ids") / width).cast("long").alias("n")).collect()}  # one row for each input partition
     starts, total = {}, 0
     for part in sorted(counted):
         starts[part] = total
@@ -82,28 +86,22 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048
     sequences_per_shard = sequences_per_shard or min(65_536, max(1, -(-sequences // 64)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at = starts.get(part, 0)
         for batch in batches:
             found: list[tuple[int, int, bytes]] = []
-            for text in batch.column(0).to_pylist():
-                ids = np.frombuffer(tokens.encode(text or "", tokenizer) + end, "<u4").astype(dtype)
-                done = 0
+            for part, start, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                at, done = starts[part] + start, 0
                 while done < len(ids):
-                    room = length - at % length
-                    own = ids[done : done + room]
+                    own = ids[done : done + (length - at % length) * width]
                     # Neighbouring documents of one sequence travel as one piece.
-                    if found and found[-1][0] == at // length and at % length:
-                        found[-1] = (found[-1][0], found[-1][1], found[-1][2] + own.tobytes())
+                    if found and found[-1][0] == at // length and found[-1][1] + len(found[-1][2]) // width == at % length:
+                        found[-1] = (*found[-1][:2], found[-1][2] + own)
                     else:
-                        found.append((at // length, at % length, own.tobytes()))
-                    at += len(own)
+                        found.append((at // length, at % length, own))
+                    at += len(own) // width
                     done += len(own)
             sequence = np.array([f[0] for f in found], np.int64)
             slot = permute(sequence, sequences, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot // sequences_per_shard), pa.array(slot), pa.array(sequence), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], ["shard", "slot", "sequence", "offset", "ids"])
-        if at != starts.get(part, 0) + counted.get(part, 0):
-            raise RuntimeError("the input gave other rows in the second pass; stage it first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -152,7 +150,7 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048
     spark.createDataFrame([(length, width, sequences_per_shard, sequences, key)], "length int, width int, sequences_per_shard int, sequences long, key long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
     shards = -(-sequences // sequences_per_shard)
     tasks = max(1, min(shards, 4 * shuffle_partitions(spark)))
-    dealt = rows.mapInArrow(cut, "shard long, slot long, sequence long, offset int, ids binary").repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("slot", "offset")
+    dealt = coded.mapInArrow(cut, "shard long, slot long, sequence long, offset int, ids binary").repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("slot", "offset")
     manifest = f"{folder}/manifest"
     dealt.mapInArrow(write, "slot long, sequence long, shard long, n_ids long, crc32 long").write.mode("overwrite").parquet(manifest)
     return spark.read.schema("slot long, sequence long, shard long, n_ids long, crc32 long").parquet(manifest)
