@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import documents, id_text, shared_folder, shuffle_partitions, stage
+from lectern.llm.common import bounded, documents, id_text, shared_folder, shuffle_partitions, stage
 
 ROUNDS = 6
 MASK = (1 << 64) - 1
@@ -70,11 +70,13 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [np.frombuffer(tokens.encode(t, tokenizer) + end, "<u4").astype(dtype) for t in batch.column(0).to_pylist()]
-            starts = at + np.cumsum([0, *map(len, ids)])
-            at = int(starts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array([v.tobytes() for v in ids], pa.binary())], ["part", "start", "ids"])
+        for batch in bounded(batches):
+            ids = [tokens.encode(t, tokenizer) + end for t in batch.column(0).to_pylist()]
+            own = np.frombuffer(b"".join(ids), "<u4").astype(dtype).tobytes()
+            bounds = np.cumsum([0, *(len(v) // 4 for v in ids)])
+            places = (bounds * width).tolist()
+            starts, at = at + bounds[:-1], at + int(bounds[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([own[a:b] for a, b in zip(places, places[1:])], pa.binary())], ["part", "start", "ids"])
 
     coded = stage(id_text(docs).select("text").mapInArrow(encode, "part int, start long, ids binary"), "ids", "zstd")
     counted = {r["part"]: r["n"] for r in coded.groupBy("part").agg(F.sum(F.length("ids") / width).cast("long").alias("n")).collect()}  # one row for each input partition
