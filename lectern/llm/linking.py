@@ -8,7 +8,8 @@ Rows that could be linked share a key. Pairs are verified in rounds:
 - Members that are by then in one component need no more pairs, and no pair is verified twice. The last round verifies
   every pair of a key whose components still differ, so no link between two components is lost.
 
-Components are the smallest id reachable, by hooking to the smallest neighbour and pointer jumping, each step a written table.
+Components are the smallest id reachable, by hooking whole trees to the smallest label next to them and pointer jumping, each step a
+written table, until nothing changes.
 """
 
 from __future__ import annotations
@@ -24,20 +25,22 @@ Verify = Callable[[DataFrame], DataFrame]
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """id, component for each end of an edge (a, b): the smallest id reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, component for each end of an edge (a, b): the smallest id reachable. Rounds go on until no label changes."""
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        hooked = stage(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component")), "hooked")
+        seen = stage(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("m")), "seen")
+        # A tree, its root included, takes the least label next to any of its members.
+        trees = seen.groupBy("was").agg(F.min("m").alias("component"))
+        hooked = stage(seen.select("id", "was").join(trees, "was").select("id", "was", "component"), "hooked")
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
         # A component's label is itself an end of an edge, so the jump always finds it.
         after = stage(hooked.join(jump, "component").select("id", "was", F.least("component", "next").alias("component")), "jumped")
         labels = after.select("id", "component")
         if after.where("component <> was").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def connect(postings: DataFrame, verify: Verify, fits: Fits, star_rounds: int = 2) -> DataFrame:

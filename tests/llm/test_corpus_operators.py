@@ -308,3 +308,12 @@ def test_digests_of_queries(spark, data, texts):
         for r in registry.queries()[name](spark, data).limit(50).collect():
             if not r.spans:
                 assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_components_of_a_shuffled_chain(spark):
+    from lectern.llm import linking
+
+    ids = list(range(2000))
+    random.Random(0).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5001)], "a long, b long")
+    assert {r.id: r.component for r in linking.components(edges).collect()} == dict.fromkeys(ids, 0) | {5000: 5000, 5001: 5000}
