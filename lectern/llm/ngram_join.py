@@ -69,6 +69,11 @@ def partners(size: int, percent: int = PERCENT) -> range:
     return range(-(-percent * size // 100), 100 * size // percent + 1)
 
 
+def only_equal(size: int, percent: int = PERCENT) -> bool:
+    """Whether a set of this size is similar to equal sets alone: no other size fits, and its own needs a whole overlap."""
+    return all(t == size for t in partners(size, percent)) and needed(size, size, percent) == size
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -100,7 +105,7 @@ def sets_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         for s in batch_shingles(batch.column(1), width):
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-            heads.append(_signed(s[: prefix_length(len(s), percent) + 4]) if len(s) > 5 else [])
+            heads.append([] if only_equal(len(s), percent) else _signed(s[: prefix_length(len(s), percent) + 4]))
         return [batch.column(0), sizes, keys, heads]
 
     return map_batches(id_text(docs), run, "doc_id long, n_shingles long, set_key binary, head array<long>")
@@ -127,7 +132,7 @@ def signatures(docs: DataFrame, firsts: np.ndarray, common: np.ndarray, boundary
         picked = pa.array(np.flatnonzero(holds(firsts, batch.column(2).to_numpy())), pa.int64())
         for doc_id, s in zip(batch.column(0).take(picked).to_pylist(), batch_shingles(batch.column(1).take(picked), width)):
             n = len(s)
-            if n < 6:  # only equal sets are similar
+            if only_equal(n, percent):
                 continue
             keys: list[np.ndarray] = []
             places: list[np.ndarray] = []

@@ -317,3 +317,16 @@ def test_components_of_a_shuffled_chain(spark):
     random.Random(0).shuffle(ids)
     edges = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5001)], "a long, b long")
     assert {r.id: r.component for r in linking.components(edges).collect()} == dict.fromkeys(ids, 0) | {5000: 5000, 5001: 5000}
+
+
+def test_keep_first_of_short_texts(spark):
+    random.seed(6)
+    texts = {}
+    for i in range(120):
+        n, start = random.randint(1, 14), random.randrange(3)
+        texts[i] = " ".join(f"g{i % 8}w{k}" for k in range(start, start + n))
+    texts |= {200: "a b c d e f g h i", 201: "a b c d e f g h i j", 202: "l m n o p q r s", 203: "l m n o p q r s t"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    want = brute_groups(texts, 5, 80)
+    assert want[201][1] == 200 and want[203][1] == 202
+    assert {r.doc_id for r in ngram_join.keep_first(df).collect()} == {i for i, (_, c) in want.items() if i == c}
