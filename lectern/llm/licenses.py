@@ -2,7 +2,7 @@
 
 A text is cut into words of lower-case letters, digits and other non-ASCII characters. The words, joined by single spaces,
 run through one automaton that holds every phrase, so places are word numbers. Where the tag phrase is found, the raw text
-behind the tag is read as a licence expression with AND, OR, WITH and parentheses.
+behind the tag, up to the end of its line or the next tag, is read as a licence expression with AND, OR, WITH and parentheses.
 
 An expression's value: an identifier is a set of labels with a restriction rank; OR and AND unite the labels of their
 sides, OR takes the lower rank and AND the higher; WITH adds its exception to the licence on its left. `restriction` is the
@@ -46,7 +46,7 @@ RESTRICTION = {"cc0": 0, "unlicense": 0, "mit": 1, "isc": 1, "bsd": 1, "bsd-2-cl
 CONFIDENCE = {"expression": 1.0, "base": 0.9, "notice": 0.8, "broken": 0.5}
 
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+-]+)")
-TAG_LINE = re.compile(r"spdx[\s_-]*license[\s_-]*identifier\s*:?[ \t]*([^\n]{0,400})", re.I)
+TAG_START = re.compile(r"spdx[\s_-]*license[\s_-]*identifier\s*:?[ \t]*", re.I)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -54,7 +54,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 class Reading:
     """All labels named, and the restriction rank that the whole expression asks for."""
 
-    labels: frozenset[str]
+    labels: set[str]
     rank: int
     whole: bool = True
 
@@ -73,9 +73,12 @@ def parse_expression(text: str) -> Reading | None:
     def apply(op: str) -> None:
         b, a = output.pop(), output.pop()
         if op == "with":
-            output.append(Reading(frozenset(f"{x}-with-{next(iter(b.labels))}" for x in a.labels), a.rank))
+            output.append(Reading({f"{x}-with-{next(iter(b.labels))}" for x in a.labels}, a.rank))
         else:
-            output.append(Reading(a.labels | b.labels, min(a.rank, b.rank) if op == "or" else max(a.rank, b.rank)))
+            # The smaller set goes into the larger one, so that long expressions do not copy their labels at each operator.
+            few, many = sorted((a.labels, b.labels), key=len)
+            many |= few
+            output.append(Reading(many, min(a.rank, b.rank) if op == "or" else max(a.rank, b.rank)))
 
     while m := TOKEN.match(text, at):
         token = m[1].lower().rstrip(".") if m[1] not in "()" else m[1]
@@ -86,7 +89,7 @@ def parse_expression(text: str) -> Reading | None:
                 break
             else:
                 name = identifier(token)
-                output.append(Reading(frozenset([name]), RESTRICTION.get(name, 9)))
+                output.append(Reading({name}, RESTRICTION.get(name, 9)))
                 expect_operand = False
         elif token in PRECEDENCE:
             while operators and operators[-1] != "(" and PRECEDENCE[operators[-1]] >= PRECEDENCE[token]:
@@ -144,11 +147,13 @@ def scan(text: str, phrases: ahocorasick.Automaton) -> tuple[int, int, int | Non
     first, last = ((line.count(" ", 0, f) for f in (min(starts), max(starts))) if starts else (None, None))
     if "tag" in kinds:
         kinds.discard("tag")
-        for m in TAG_LINE.finditer(text):
-            if reading := parse_expression(m[1]):
+        tags = [m.span() for m in TAG_START.finditer(text)]
+        for (_, start), (following, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+            value = text[start:following].split("\n", 1)[0]
+            if reading := parse_expression(value):
                 labels |= reading.labels
                 ranks.append(reading.rank)
-                expressions.append(m[1].strip())
+                expressions.append(value.strip())
                 kinds.add("expression" if reading.whole else "broken")
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), max((CONFIDENCE[k] for k in kinds), default=0.0), max(ranks, default=None), expressions
 

@@ -330,3 +330,17 @@ def test_keep_first_of_short_texts(spark):
     want = brute_groups(texts, 5, 80)
     assert want[201][1] == 200 and want[203][1] == 202
     assert {r.doc_id for r in ngram_join.keep_first(df).collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_license_expression_of_a_long_line():
+    machine = licenses.automaton()
+    names = [f"LicenseRef-{i:03}" for i in range(120)]
+    line = f"SPDX-License-Identifier: MIT AND ({' OR '.join(names)}) AND AGPL-3.0-only"
+    assert len(line) > 2000
+    n = licenses.scan(f"{line} */\nMIT AND GPL-2.0-only", machine)
+    assert n[5].split(",") == sorted(["agpl-3", "mit", *(x.lower() for x in names)])
+    assert n[6:8] == (1.0, 9) and n[8] == [line.split(": ", 1)[1] + " */"]
+    simple = " AND ".join(["MIT"] * 100 + ["AGPL-3.0-only"])
+    # A later tag of the same line is read too.
+    n = licenses.scan(f"SPDX-License-Identifier: {simple} // SPDX-License-Identifier: ISC", machine)
+    assert n[5:8] == ("agpl-3,isc,mit", 1.0, 7)
