@@ -344,3 +344,44 @@ def test_license_expression_of_a_long_line():
     # A later tag of the same line is read too.
     n = licenses.scan(f"SPDX-License-Identifier: {simple} // SPDX-License-Identifier: ISC", machine)
     assert n[5:8] == ("agpl-3,isc,mit", 1.0, 7)
+
+
+def test_line_dedup_finds_all_similar_lines(spark):
+    random.seed(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lines = []
+    for n in (5, 6, 9, 10, 14, 15, 20, 27, 40, 80):
+        for _ in range(6):
+            base = [random.choice(("the", "of", f"v{random.randrange(400)}", f"v{random.randrange(400)}")) for _ in range(n)]
+            lines.append(base)
+            for edits in (1, n // 10, n // 5, n // 5 + 1):
+                w = list(base)
+                for at in random.sample(range(n), min(n, edits)):
+                    w[at] = random.choice((f"x{random.randrange(99)}", f"x{random.randrange(99)}", f"x{random.randrange(99)} y", ""))
+                lines.append(" ".join(w).split())
+    lines = [w for w in lines if len(w) >= line_dedup.MIN_WORDS]
+    parent = list(range(len(lines)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            most = max(len(a), len(b))
+            if 10 * min(len(a), len(b)) >= 8 * most and 10 * distance(a, b) <= 2 * most:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    sizes = Counter(find(i) for i in range(len(lines)))
+    got = line_dedup.grouped_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")).collect()
+    first = {r.line_group: r.doc_id for r in got if r.kept}
+    assert {r.doc_id: first[r.line_group] for r in got} == {i: find(i) for i in range(len(lines)) if sizes[find(i)] > 1}
