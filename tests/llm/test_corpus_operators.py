@@ -385,3 +385,24 @@ def test_line_dedup_finds_all_similar_lines(spark):
     got = line_dedup.grouped_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")).collect()
     first = {r.line_group: r.doc_id for r in got if r.kept}
     assert {r.doc_id: first[r.line_group] for r in got} == {i: find(i) for i in range(len(lines)) if sizes[find(i)] > 1}
+
+
+def test_decontamination_of_names_at_sentence_starts_numbers_and_few_literals(spark):
+    items = [
+        (1, "Anna has 3 apples. Tom has 5 apples. How many apples do they have in total?"),
+        (2, "A class sold 900 tickets and then 90 dollars came in for each of the 900 seats."),
+        (3, "Tom 3 kg, Ann 5 kg, Bob 7 kg"),
+        (4, "Natalia sold clips to her friends in April. Natalia then sold half as many clips in May. Weng earns more than both of them together."),
+    ]
+    texts = [
+        (1, "zz. Lucy has 4 apples. Mark has 7 apples. How many apples do they have in total? ok"),
+        (2, "zz a class sold 1,200 tickets and then 120.50 dollars came in for each of the 1,200 seats."),
+        (3, "The list: Tom 3 kg, Ann 5 kg, Bob 7 kg"),
+        (4, "zz. Petra sold clips to her friends in April. Petra then sold half as many clips in May. Hans earns more than both of them together."),
+        (5, "The list: Tom 4 kg, Ann 6 kg, Bob 8 kg"),
+    ]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for limit in (0, 10**6):
+        got = decontamination.find_leaks(docs, items, lookup_limit=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in got) == [(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True)]
