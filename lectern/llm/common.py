@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,17 +25,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
+def write_and_read(df: DataFrame, path: str, compression: str) -> DataFrame:
+    df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_and_read(df, f"{shared_folder(df.sparkSession)}/{name}", compression)
+
+
+class Scratch:
+    """The staged tables of one computation, which ends by deleting all but those that its result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, shared_folder(spark), {}
+
+    def stage(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        out = write_and_read(df, path, compression)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for path in [p for p, held in self.paths.items() if any(held is t for t in tables)]:
+            self._delete(path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        for path in [p for p, held in self.paths.items() if not any(held is t for t in tables)]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        self.paths[path] = None
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of a batch that a task takes at a time: what it makes of them in Python is many times as large.
@@ -71,6 +101,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart that have one doc_id but different texts; rows that repeat each other have one key."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
