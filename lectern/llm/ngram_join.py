@@ -11,8 +11,12 @@ The boundary between small and large is the size at which all subsets cost less
 sizes and list lengths at hand. Shingles found in many lists are moved to the end of the order; their number is bounded by
 construction (at least `rows / MOST_COMMON` lists each). Links and components come from `linking.connect`.
 
+Documents are told apart by a hash of id and text (`row_key`), so rows of one id with unlike texts are documents of their own.
+Filters inside the scans are sized by the number of their members, up to FILTER_LIMIT; beyond it a scan passes everything and the
+join that follows does the work.
+
 Defined results: a null or empty text has an empty set and links with nothing; under `WIDTH` words the whole sequence is the
-one shingle; repeated rows are equal sets; rows of one id count as one document. Counts hold up to collisions of 64-bit hashes.
+one shingle; repeated rows are equal sets. Counts hold up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, id_text, map_batches, stage, window_hashes, word_hashes
+from lectern.llm.common import Scratch, documents, map_batches, row_key, window_hashes, word_hashes
 from lectern.llm.linking import connect
 
 WIDTH = 4
@@ -38,10 +42,12 @@ MOST_COMMON = 1_000_000
 LEAST_LISTS = 16
 #: Sets above this size always go into lists.
 SMALL_LIMIT = 20
-#: Classes of shingles that are counted for each set: the sum of the smaller counts bounds an overlap before sets are read.
-CLASSES = 64
-#: Bits of the filter for the documents whose sets are needed: 4 MB whatever the corpus.
-FILTER_BITS = 1 << 25
+#: Bits of a set's parity sketch: two sets differ in as many shingles at least as their sketches in bits.
+SKETCH = 1024
+SKETCHES = [f"s{k}" for k in range(SKETCH // 64)]
+#: Bits of a filter for each of its members, and the most bits of one (32 MB).
+BITS_PER_MEMBER = 8
+FILTER_LIMIT = 1 << 28
 
 
 def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -97,8 +103,13 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """doc_key and text; a null text reads as empty."""
+    return docs.select(row_key().alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def sets_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits), and the beginning of the set in hash order: a prefix and a little more."""
+    """doc_id, doc_key, n_shingles, set_key (128 bits), and the beginning of the set in hash order: a prefix and a little more."""
 
     def run(batch: pa.RecordBatch):
         sizes, keys, heads = [], [], []
@@ -106,12 +117,13 @@ def sets_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
             heads.append([] if only_equal(len(s), percent) else _signed(s[: prefix_length(len(s), percent) + 4]))
-        return [batch.column(0), sizes, keys, heads]
+        return [batch.column(2), batch.column(0), sizes, keys, heads]
 
-    return map_batches(id_text(docs), run, "doc_id long, n_shingles long, set_key binary, head array<long>")
+    texts = docs.select(row_key().alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return map_batches(texts, run, "doc_id long, doc_key long, n_shingles long, set_key binary, head array<long>")
 
 
-def signatures(docs: DataFrame, firsts: np.ndarray, common: np.ndarray, boundary: int, shared: np.ndarray | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, firsts: Filter, common: np.ndarray, boundary: int, shared: Filter | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n, rank and the (key, pos) of each signature of the documents in the filter `firsts`; rank: how many shingles are
     rare (the fewer, the more central). With `shared`, only keys that this filter holds."""
 
@@ -129,7 +141,7 @@ def signatures(docs: DataFrame, firsts: np.ndarray, common: np.ndarray, boundary
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(5)]
-        picked = pa.array(np.flatnonzero(holds(firsts, batch.column(2).to_numpy())), pa.int64())
+        picked = pa.array(np.flatnonzero(firsts.holds(batch.column(0).to_numpy())), pa.int64())
         for doc_id, s in zip(batch.column(0).take(picked).to_pylist(), batch_shingles(batch.column(1).take(picked), width)):
             n = len(s)
             if only_equal(n, percent):
@@ -149,100 +161,128 @@ def signatures(docs: DataFrame, firsts: np.ndarray, common: np.ndarray, boundary
                 places.append(np.zeros(len(keys[-1]), np.int64))
             key, place = np.concatenate(keys), np.concatenate(places).astype(np.int32)
             if shared is not None:
-                both = holds(shared, (key % np.uint64(FILTER_BITS)).astype(np.int64))
+                both = shared.holds(_signed(key))
                 key, place = key[both], place[both]
             if len(key):
                 for column, v in zip(out, (doc_id, n, rare, _signed(key), place)):
                     column.append(v)
         return out
 
-    return map_batches(id_text(docs).withColumn("bit", bit_of("doc_id")), run, "id long, n long, rank long, keys array<long>, places array<int>")
+    return map_batches(keyed_text(docs), run, "id long, n long, rank long, keys array<long>, places array<int>")
 
 
-def bit_of(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+class Filter:
+    """A bitmap of numbers: holds() may be true of a few that were not put in, never false of one that was. None of them is kept beyond FILTER_LIMIT."""
 
+    def __init__(self, numbers: DataFrame, column: str):
+        count = numbers.count()
+        self.bits = max(1 << 15, 1 << (BITS_PER_MEMBER * count - 1).bit_length())
+        self.table: np.ndarray | None = None
+        if self.bits > FILTER_LIMIT:
+            return
+        at = F.col(column).bitwiseAND(F.lit(self.bits - 1).cast("long")) + 1  # the bitmap functions number values from one
+        parts = numbers.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+        self.table = np.zeros(self.bits // 8, np.uint8)
+        for r in parts:
+            self.table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
 
-def holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            return np.ones(len(numbers), bool)
+        at = numbers & np.int64(self.bits - 1)
+        return (self.table[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def fixed_filter(ids: DataFrame, bit) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits, whatever the number of rows: the bits that `bit` gives. It may hold more than was put in, never less."""
-    at = bit + 1  # the bitmap functions number values from one
-    parts = ids.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bit k: whether an odd number of shingles falls on it."""
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def wanted_sets(docs: DataFrame, ids: DataFrame, counts: bool, width: int = WIDTH) -> DataFrame:
-    """id and the shingles, or their counts by class, of the documents in `ids` (id): the filter picks them inside the scan, a join drops its few errors."""
-    bits = fixed_filter(ids, bit_of("id"))
+def wanted_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, sketches: bool = False) -> DataFrame:
+    """id and the shingles, or n and the sketch (s0, s1, ...), of the documents in `ids` (id): the filter picks them inside the scan, a join drops its few errors."""
+    wanted = Filter(ids, "id")
 
     def run(batch: pa.RecordBatch):
-        picked = pa.array(np.flatnonzero(holds(bits, batch.column(2).to_numpy())), pa.int64())
+        picked = pa.array(np.flatnonzero(wanted.holds(batch.column(0).to_numpy())), pa.int64())
         sets = [*batch_shingles(batch.column(1).take(picked), width)]
-        return [batch.column(0).take(picked), [np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES) if counts else _signed(s) for s in sets]]
+        if not sketches:
+            return [batch.column(0).take(picked), [_signed(s) for s in sets]]
+        table = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCHES))
+        return [batch.column(0).take(picked), [len(s) for s in sets], *table.T]
 
-    rows = map_batches(id_text(docs).withColumn("bit", bit_of("doc_id")), run, "id long, counts array<int>" if counts else "id long, shingles array<long>")
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    columns = f"n long, {', '.join(f'{s} long' for s in SKETCHES)}" if sketches else "shingles array<long>"
+    return map_batches(keyed_text(docs), run, f"id long, {columns}").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    sets = stage(sets_of(docs, width, percent), "sets")
-    classes = stage(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+def grouped_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, doc_key, n_shingles and `first` (doc_id, doc_key), the least of the rows reachable by links, the row itself included."""
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.stage(sets_of(docs, width, percent), "sets")
+    classes = scratch.stage(sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_key").alias("id")), "classes")
 
     heads = sets.select(F.explode("head").alias("h"))
-    lists = stage(heads.groupBy("h").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1"), "lists")
+    lists = scratch.stage(heads.groupBy("h").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1"), "lists")
     whole = sets.agg(F.sum(F.size("head"))).collect()[0][0] or 0
     shared = lists.agg(F.sum(F.least("lists", F.lit(LEAST_LISTS)))).collect()[0][0] or 0
     least = max(LEAST_LISTS, whole // MOST_COMMON)
-    common = np.sort(np.array([r["h"] for r in lists.where(F.col("lists") >= least).select("h").collect()], np.int64).astype(np.uint64))  # at most MOST_COMMON
+    common = np.sort(lists.where(F.col("lists") >= least).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))  # at most MOST_COMMON
     sizes = {r["n_shingles"]: r["n"] for r in sets.where(f"n_shingles BETWEEN 1 AND {SMALL_LIMIT * 2}").groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n")).collect()}
     boundary = choose_boundary(sizes, shared / max(whole, 1), percent)
+    scratch.drop(lists)
 
     # Keys of one document alone make nearly all signatures: they are counted by hash, and only shared ones are kept.
-    firsts = fixed_filter(classes, bit_of("id"))
+    firsts = Filter(classes, "id")
     alone = signatures(docs, firsts, common, boundary, None, width, percent)
-    several = stage(alone.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several_keys")
-    # The key's low bits, as signatures() reads them from unsigned numbers.
-    known = fixed_filter(several, F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")))
-    signed = signatures(docs, firsts, common, boundary, known, width, percent).join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    several = scratch.stage(alone.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several_keys")
+    signed = signatures(docs, firsts, common, boundary, Filter(several, "key"), width, percent).join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
     postings = signed.select("id", "n", "rank", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "id", "n", "rank", F.col("s.places").alias("pos"))
-    kept = stage(postings.join(several, "key", "left_semi"), "postings")
+    kept = scratch.stage(postings.join(several, "key", "left_semi"), "postings")
+    scratch.drop(several)
 
     def fits(left, right):
         overlap = F.ceil(F.lit(percent) * (left("n") + right("n")) / (100 + percent))
         return (100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))) & (F.least(left("n") - left("pos"), right("n") - right("pos")) >= overlap)
 
-    sketches = stage(wanted_sets(docs, stage(kept.select("id").distinct(), "sharing"), True, width), "sketches")
+    sketches = scratch.stage(wanted_sets(docs, scratch.stage(kept.select("id").distinct(), "sharing"), width, True), "sketches")
+
+    def close(left, right):
+        """Sets that differ in d shingles share (n + n - d) / 2, and have (n + n + d) / 2 together."""
+        d = sum((F.bit_count(left(s).bitwiseXOR(right(s))) for s in SKETCHES), F.lit(0))
+        both = left("n") + right("n")
+        return 100 * (both - d) >= percent * (both + d)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """First by the bound that the class counts give; the sets of what is left are made anew from the texts, so that only they move."""
-        side = lambda df, id_, column, to: df.select(F.col("id").alias(id_), F.col(column).alias(to))
-        bound = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
-        total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
-        maybe = pairs.join(side(sketches, "a", "counts", "x"), "a").join(side(sketches, "b", "counts", "y"), "b")
-        maybe = stage(maybe.where((100 + percent) * bound >= percent * (total("x") + total("y"))).select("a", "b"), "maybe")
-        ids = stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        sets_ = stage(wanted_sets(docs, ids, False, width), "sets_wanted")
-        both = maybe.join(side(sets_, "a", "shingles", "x"), "a").join(side(sets_, "b", "shingles", "y"), "b")
+        """First by the sketches; the sets of what is left are made anew from the texts, so that only they move."""
+        side = lambda to: sketches.select(*(F.col(c).alias(f"{to}_{c}") for c in sketches.columns))
+        maybe = pairs.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), (F.col("b") == F.col("r_id")) & close(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")))
+        maybe = scratch.stage(maybe.select("a", "b"), "maybe")
+        ids = scratch.stage(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets_ = scratch.stage(wanted_sets(docs, ids, width), "sets_wanted")
+        one = lambda to, column: sets_.select(F.col("id").alias(to), F.col("shingles").alias(column))
+        both = maybe.join(one("a", "x"), "a").join(one("b", "y"), "b")
         common_size = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common_size >= percent * (F.size("x") + F.size("y") - common_size)).select("a", "b")
 
-    labels = connect(kept, verify, fits)
-    found = stage(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class")), "found")
-    return sets.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+    labels = connect(kept, verify, fits, sketches.drop("n"), close, scratch=scratch)
+    found = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class"))
+    rows = scratch.stage(sets.select("doc_id", "doc_key", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "doc_key", "n_shingles", "class"), "rows")
+    firsts_ = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
+    out = rows.join(firsts_, "class", "left").select("doc_id", "doc_key", "n_shingles", F.coalesce("first", F.struct("doc_id", "doc_key")).alias("first"))
+    out = scratch.stage(out, "groups")
+    scratch.drop_all_but(out)
+    return out
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    return grouped_rows(docs, width, percent).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one of smallest id; documents without words stay. All columns as they are."""
-    groups = stage(similar_groups(docs, width, percent), "groups")
-    gone = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, the one of smallest id (rows that repeat it stay with it); documents without words stay. All columns as they are."""
+    groups = grouped_rows(docs, width, percent)
+    gone = groups.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("doc_key") != F.col("first.doc_key"))).select(F.col("doc_key").alias("_key")).distinct()
+    return docs.join(gone, row_key() == F.col("_key"), "left_anti").select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
