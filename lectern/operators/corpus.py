@@ -43,8 +43,10 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
     """Windows of `size` characters, each starting `overlap` before the last one's end; ids by hash and number (A06's plain form, A07)."""
     step = size - overlap
     n = F.greatest(F.ceil((F.length("content") - overlap) / step), F.lit(1)).cast("int")
-    rows = docs.select("owner_id", "document_id", "content", F.sha2("content", 256).alias("file_hash"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    text = F.substring(F.col("content"), F.col("chunk_index") * step + 1, F.lit(size))
+    # Pieces are cut before they are spread, so that no chunk carries the whole content.
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("content"), k * step + 1, F.lit(size)))
+    rows = docs.select("owner_id", "document_id", F.sha2("content", 256).alias("file_hash"), F.posexplode(pieces).alias("chunk_index", "content"))
+    text = F.col("content")
     return rows.select("owner_id", "document_id", F.concat_ws("_", "file_hash", F.col("chunk_index").cast("string")).alias("vector_id"), F.col("chunk_index").cast("long").alias("chunk_index"), (F.col("chunk_index") * step).cast("long").alias("start_index"), text.alias("content"))
 
 

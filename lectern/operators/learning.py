@@ -11,6 +11,8 @@ from lectern.sources import adapters as A
 DIFFICULTY = {"easy": 1.0, "medium": 1.5, "difficult": 2.0}
 OUTCOME = {"accepted": 1.0, "accepted_quality_warning": 0.75}
 LEVELS = ((85, "Mastered"), (70, "Proficient"), (50, "Developing"))
+# Answers that suffice without a concept plan, and the share of a plan's capacity that must be met.
+LEAST_ANSWERS, COVERAGE = 3, 0.6
 
 
 def weight_of(column: str, weights: dict[str, float], blank: str | None = None) -> F.Column:
@@ -31,13 +33,14 @@ def latest_answers(answers: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def topic_mastery(answers: DataFrame, attempts: DataFrame) -> DataFrame:
-    """weighted score, coverage and level of each learner's topics."""
+    """weighted score, coverage and level of each learner's topics. With a concept plan (capacity > 0) enough of its concepts must be met, else three answers do."""
     weight = weight_of("question_difficulty", DIFFICULTY, "easy") * weight_of("validation_outcome", OUTCOME)
     g = latest_answers(answers, attempts).groupBy("student_id", "document_id", "topic_id").agg(
         F.sum(F.when(F.col("is_correct"), weight).otherwise(0.0)).alias("earned"), F.sum(weight).alias("possible"), F.count(F.lit(1)).alias("answered"),
-        F.sum(F.col("is_correct").cast("long")).alias("correct"), F.countDistinct("concept_id").alias("concepts"), F.countDistinct("quiz_id").alias("quizzes"), F.max("submitted_at").alias("last_evidence_at"))
+        F.sum(F.col("is_correct").cast("long")).alias("correct"), F.countDistinct("concept_id").alias("concepts"), F.countDistinct("quiz_id").alias("quizzes"), F.max("submitted_at").alias("last_evidence_at"), F.coalesce(F.max("assessment_capacity"), F.lit(0)).alias("capacity"))
     score = F.when(F.col("possible") > 0, F.floor(100 * F.col("earned") / F.col("possible") * 100 + 0.5) / 100).otherwise(0.0)
-    enough = F.col("answered") >= 3
+    required = F.least("capacity", F.greatest(F.lit(1), F.ceil(F.col("capacity") * COVERAGE)))
+    enough = F.when(F.col("capacity") > 0, F.col("concepts") >= required).otherwise(F.col("answered") >= LEAST_ANSWERS)
     level = F.lit("Weak")
     for bound, name in reversed(LEVELS):
         level = F.when(F.col("score") >= bound, name).otherwise(level)
@@ -54,9 +57,9 @@ LATEST_SQL = """latest AS (SELECT * FROM (SELECT a.*, t.student_id, t.document_i
   FROM answers a JOIN attempts t ON a.attempt_id = t.attempt_id WHERE t.completed AND t.submitted_at IS NOT NULL) WHERE rn = 1)"""
 MASTERY_SQL = """weighted AS (SELECT *, CASE question_difficulty WHEN 'easy' THEN 1.0 WHEN 'medium' THEN 1.5 ELSE 2.0 END * CASE validation_outcome WHEN 'accepted_quality_warning' THEN 0.75 ELSE 1.0 END AS weight FROM latest),
 grouped AS (SELECT student_id, document_id, topic_id, CAST(sum(CASE WHEN is_correct THEN weight ELSE 0 END) AS DOUBLE) AS earned, CAST(sum(weight) AS DOUBLE) AS possible, count(*) AS answered,
-  CAST(sum(CAST(is_correct AS INT)) AS BIGINT) AS correct, count(DISTINCT concept_id) AS concepts, count(DISTINCT quiz_id) AS quizzes, max(submitted_at) AS last_evidence_at FROM weighted GROUP BY ALL),
-scored AS (SELECT *, CASE WHEN possible > 0 THEN floor(100 * earned / possible * 100 + 0.5) / 100 ELSE 0.0 END AS score FROM grouped),
-mastery AS (SELECT student_id, document_id, topic_id, answered, correct, concepts, quizzes, score, answered >= 3 AS sufficient, CASE WHEN answered < 3 THEN 'Insufficient evidence' WHEN score >= 85 THEN 'Mastered'
+  CAST(sum(CAST(is_correct AS INT)) AS BIGINT) AS correct, count(DISTINCT concept_id) AS concepts, count(DISTINCT quiz_id) AS quizzes, max(submitted_at) AS last_evidence_at, coalesce(max(assessment_capacity), 0) AS capacity FROM weighted GROUP BY ALL),
+scored AS (SELECT *, CASE WHEN capacity > 0 THEN concepts >= least(capacity, greatest(1, ceil(capacity * CAST(0.6 AS DOUBLE)))) ELSE answered >= 3 END AS enough, CASE WHEN possible > 0 THEN floor(100 * earned / possible * 100 + 0.5) / 100 ELSE 0.0 END AS score FROM grouped),
+mastery AS (SELECT student_id, document_id, topic_id, answered, correct, concepts, quizzes, score, enough AS sufficient, CASE WHEN NOT enough THEN 'Insufficient evidence' WHEN score >= 85 THEN 'Mastered'
   WHEN score >= 70 THEN 'Proficient' WHEN score >= 50 THEN 'Developing' ELSE 'Weak' END AS level, last_evidence_at FROM scored)"""
 BASE_SQL = f"WITH {A.ATTEMPTS_SQL}, {A.ANSWERS_SQL}, {LATEST_SQL}, {MASTERY_SQL}"
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lectern.operators import intervals
 from lectern.sources.tables import table
 
-# Weights of urgency, review, performance and workload, and the cap of questions for a topic and a document.
+# Weights of urgency, review, performance and workload, and the cap of questions for a document.
 PRIORITY = (0.35, 0.35, 0.20, 0.10)
-TOPIC_CAP, DOCUMENT_CAP = 8, 40
+DOCUMENT_CAP = 40
 
 
 def base_priority(rows: DataFrame) -> DataFrame:
@@ -27,18 +27,25 @@ def needs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def largest_remainder(scores: DataFrame, total: int) -> DataFrame:
-    """Whole minutes in proportion to scores that sum to the total: floors first, the rest to the largest remainders."""
+    """Whole minutes in proportion to scores that sum to the total: floors first, the rest to the largest remainders. Scores that are all zero count alike."""
     own = W.partitionBy("owner_id")
-    rows = scores.withColumn("sum", F.sum("score").over(own)).withColumn("floor", F.expr(f"score * {total} div sum")).withColumn("rest", F.col("score") * total - F.col("floor") * F.col("sum"))
+    rows = scores.withColumn("score", F.when(F.sum("score").over(own) == 0, F.lit(1)).otherwise(F.col("score")))
+    rows = rows.withColumn("sum", F.sum("score").over(own)).withColumn("floor", F.expr(f"score * {total} div sum")).withColumn("rest", F.col("score") * total - F.col("floor") * F.col("sum"))
     rows = rows.withColumn("left", F.lit(total) - F.sum("floor").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("rest"), "topic_id")))
     return rows.select("owner_id", "topic_id", (F.col("floor") + (F.col("rank") <= F.col("left")).cast("long")).alias("minutes"))
 
 
 def allocate(topics: DataFrame, cap: int = DOCUMENT_CAP) -> DataFrame:
-    """Questions over a document's topics: one each, then always to the topic with most capacity left, in order. The greedy loop is a ranking of (capacity left, topic) slots."""
-    slots = topics.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("capacity", F.lit(TOPIC_CAP)).cast("int")))).withColumn("left", F.least("capacity", F.lit(TOPIC_CAP)) - F.col("n") + 1)
-    order = W.partitionBy("document_id").orderBy(F.when(F.col("n") == 1, 0).otherwise(1), F.when(F.col("n") > 1, -F.col("left")), "topic_id")
-    return slots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).groupBy("document_id", "topic_id").agg(F.count(F.lit(1)).alias("questions"))
+    """Questions over a document's topics: one each (the largest, where there are more topics than questions), then always to the
+    topic with most capacity left, then repeats in turn. The greedy loop is a ranking of (capacity left, topic) slots."""
+    own = W.partitionBy("document_id")
+    valid = topics.where("capacity > 0").withColumn("place", F.row_number().over(own.orderBy(F.desc("capacity"), "topic_id"))).where(F.col("place") <= cap)
+    valid = valid.withColumn("extra", F.greatest(F.lit(cap) - F.sum("capacity").over(own), F.lit(0))).withColumn("topics", F.count(F.lit(1)).over(own))
+    repeats = F.expr("extra div topics") + (F.col("place") <= F.col("extra") % F.col("topics")).cast("long")
+    slots = valid.withColumn("repeats", repeats).withColumn("n", F.explode(F.sequence(F.lit(1), F.least("capacity", F.lit(cap)).cast("int")))).withColumn("left", F.col("capacity") - F.col("n") + 1)
+    order = own.orderBy(F.when(F.col("n") == 1, 0).otherwise(1), F.when(F.col("n") > 1, -F.col("left")), "topic_id")
+    taken = slots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    return taken.groupBy("document_id", "topic_id").agg((F.count(F.lit(1)) + F.max("repeats")).alias("questions"))
 
 
 def capacity_report(needed: DataFrame, free: DataFrame) -> DataFrame:
@@ -55,12 +62,19 @@ def calendar_diff(wanted: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.select("session_id", action.alias("action"))
 
 
-def lineage(rows: DataFrame, depth: int = 12) -> DataFrame:
-    """The first session of each chain of reschedulings, by pointer jumping: each round doubles the length it covers."""
+def lineage(rows: DataFrame) -> DataFrame:
+    """The first session of each chain of reschedulings, by pointer jumping: each round doubles the length it covers, until nothing
+    changes. Chains that end in a circle have no first session; they stop after the rounds that the longest chain could need."""
     current = rows.select("session_id", F.coalesce("rescheduled_from", "session_id").alias("origin"))
-    for _ in range(depth.bit_length()):
+    for _ in range(rows.count().bit_length() + 1):
         jump = current.select(F.col("session_id").alias("origin"), F.col("origin").alias("next"))
-        current = current.join(jump, "origin", "left").select("session_id", F.coalesce("next", "origin").alias("origin"))
+        current = current.join(jump, "origin", "left").select("session_id", F.coalesce("next", "origin").alias("origin"), (F.col("next") != F.col("origin")).alias("moved"))
+        if current.sparkSession.sparkContext.getCheckpointDir():
+            current = current.checkpoint()
+        moved = not current.where("moved").isEmpty()
+        current = current.select("session_id", "origin")
+        if not moved:
+            break
     return current
 
 
@@ -93,15 +107,17 @@ QUERIES = {
     "topic_allocation": lambda s, d: allocate(_topics(s, d)),
     "capacity_report": lambda s, d: capacity_report(_needed(s, d), intervals._free(s, d)),
     "calendar_diff": lambda s, d: calendar_diff(*_wanted(s, d)),
-    "session_lineage": lambda s, d: lineage(_chains(s, d), 64),
+    "session_lineage": lambda s, d: lineage(_chains(s, d)),
 }
 ORACLES = {
     "base_priority": """SELECT owner_id, document_id, CAST(35 * urgency + 35 * review + 20 * performance + 10 * workload AS BIGINT) AS priority FROM (SELECT o_custkey AS owner_id, o_orderpriority AS document_id, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') % 101 AS urgency, (count(*) * 17) % 101 AS review,
       CAST(floor(max(o_totalprice)) AS BIGINT) % 101 AS performance, max(o_orderkey) % 101 AS workload FROM orders GROUP BY 1, 2)""",
     "largest_remainder": """WITH s AS (SELECT l_suppkey AS owner_id, l_partkey % 7 AS topic_id, count(*) AS score FROM lineitem GROUP BY 1, 2), a AS (SELECT *, sum(score) OVER (PARTITION BY owner_id) AS total FROM s), f AS (SELECT *, score * 600 // total AS fl, score * 600 % total AS rest FROM a),
       r AS (SELECT *, 600 - sum(fl) OVER (PARTITION BY owner_id) AS room, row_number() OVER (PARTITION BY owner_id ORDER BY rest DESC, topic_id) AS rank FROM f) SELECT owner_id, topic_id, CAST(fl + CASE WHEN rank <= room THEN 1 ELSE 0 END AS BIGINT) AS minutes FROM r""",
-    "topic_allocation": """WITH t AS (SELECT p_type AS document_id, p_brand AS topic_id, least(count(*), 8) AS cap FROM part GROUP BY 1, 2), s AS (SELECT *, unnest(range(1, cap + 1)) AS n FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN n = 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN n - cap - 1 END NULLS FIRST, topic_id) AS rank FROM s)
-      SELECT document_id, topic_id, count(*) AS questions FROM r WHERE rank <= 40 GROUP BY 1, 2""",
+    "topic_allocation": """WITH t AS (SELECT p_type AS document_id, p_brand AS topic_id, count(*) AS cap FROM part GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY cap DESC, topic_id) AS place FROM t),
+      v AS (SELECT *, greatest(40 - sum(cap) OVER (PARTITION BY document_id), 0) AS extra, count(*) OVER (PARTITION BY document_id) AS topics FROM p WHERE place <= 40),
+      s AS (SELECT *, unnest(range(1, least(cap, 40) + 1)) AS n FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN n = 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN n - cap - 1 END NULLS FIRST, topic_id) AS rank FROM s)
+      SELECT document_id, topic_id, CAST(count(*) + max(extra // topics + CASE WHEN place <= extra % topics THEN 1 ELSE 0 END) AS BIGINT) AS questions FROM r WHERE rank <= 40 GROUP BY 1, 2""",
     "capacity_report": f"""WITH {intervals.free_sql(0)}, days AS (SELECT owner_id, day, least(sum(e - s), 90) AS capacity FROM free GROUP BY 1, 2), a AS (SELECT owner_id, CAST(sum(capacity) AS BIGINT) AS available FROM days GROUP BY 1), n AS (SELECT owner_id, CAST(sum(minutes) * 2 AS BIGINT) AS needed FROM sessions GROUP BY 1),
       j AS (SELECT n.owner_id, needed, coalesce(available, 0) AS available FROM n LEFT JOIN a USING (owner_id)) SELECT *, greatest(needed - available, 0) AS shortage, CASE WHEN needed <= available THEN 'fits' WHEN available * 2 >= needed THEN 'tight' ELSE 'at_risk' END AS status FROM j""",
     "calendar_diff": f"""WITH {intervals.SESSIONS_SQL}, w AS (SELECT session_id, {PAYLOAD} AS p FROM sessions WHERE session_id % 11 <> 0), l AS (SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'old' ELSE {PAYLOAD} END AS k FROM sessions WHERE session_id % 7 <> 0)

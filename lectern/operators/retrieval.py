@@ -11,6 +11,9 @@ from lectern.sources.tables import table
 
 # Limits of the conversation context, in characters, words and messages.
 RECENT, STUDENT_CHARS, TUTOR_CHARS, TOTAL_CHARS, FOLLOW_UP_WORDS, PREVIOUS_CHARS, TITLE_CHARS, TOP_K = 6, 300, 400, 1800, 12, 200, 60, 4
+# The phrase of an answer that declines, and the beginning of a request to explain a quiz question.
+REFUSAL = "don't know based on the provided documents"
+EXPLAIN = "Explain more about this quiz question"
 
 
 def scope(filters: dict) -> Column:
@@ -60,28 +63,52 @@ def recent(rows: DataFrame, n: int = RECENT) -> DataFrame:
     return ranked.withColumn("has_user", within).where((F.col("rn") <= n) | ((F.col("has_user") == 0) & (F.col("turn") == F.col("last_user")) & (F.col("role") == "user"))).select("conv_id", "turn", "role", "text")
 
 
+def collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def shorten(text: Column, limit: int) -> Column:
+    """White space collapsed; a longer text is cut at its last sentence end in the second half of the limit, else at a word."""
+    whole = collapsed(text)
+    head = F.substring(whole, 1, limit)
+    sentence = F.regexp_extract(head, r"^(.*[.?!]) ", 1)
+    word = F.regexp_replace(F.regexp_replace(head, " [^ ]*$", ""), "[ ,;:-]+$", "")
+    return F.when(F.length(whole) <= limit, whole).when(F.length(sentence) > limit // 2, F.concat(sentence, F.lit(" …"))).otherwise(F.concat(word, F.lit(" …")))
+
+
+def student_text(text: Column, limit: int) -> Column:
+    """A student's message for later turns; a request to explain a quiz question becomes that question."""
+    question = F.regexp_extract(text, r"(?m)^[ \t]*Question:[ \t]*(.*?)[ \t\r]*$", 1)
+    asks = F.ltrim(text).startswith(EXPLAIN) & (question != "")
+    return shorten(F.when(asks, F.concat(F.lit("Explain more about the quiz question: "), question)).otherwise(text), limit)
+
+
 def history(rows: DataFrame) -> DataFrame:
-    """Messages shortened by role, the oldest dropped until all fit the budget."""
-    short = rows.withColumn("text", F.when(F.col("role") == "user", F.substring("text", 1, STUDENT_CHARS)).otherwise(F.substring("text", 1, TUTOR_CHARS)))
+    """Messages shortened by role, tutor answers without their citations, the oldest dropped until all lines fit the budget."""
+    tutor = shorten(F.regexp_replace("text", r"(?i)\s*\(source:[^)]*\)", ""), TUTOR_CHARS)
+    line = F.when(F.col("role") == "user", F.concat(F.lit("Student: "), student_text(F.col("text"), STUDENT_CHARS))).otherwise(F.concat(F.lit("Tutor: "), tutor))
     newest = W.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")).rowsBetween(W.unboundedPreceding, 0)
-    kept = short.withColumn("used", F.sum(F.length("text") + 1).over(newest)).where(F.col("used") <= TOTAL_CHARS)
-    lines = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.array_join(F.transform(lines, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("history"))
+    marked = rows.withColumn("line", line).withColumn("fits", F.sum(F.length("line") + 1).over(newest) <= TOTAL_CHARS)
+    lines = F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct("turn", "role", "text", "line"))))
+    text = F.array_join(F.transform(lines, lambda m: m["line"]), "\n")
+    kept = marked.groupBy("conv_id").agg(F.sum(F.col("fits").cast("long")).alias("messages"), text.alias("history"))
+    return kept.withColumn("history", F.when(F.col("messages") == 0, "No previous messages.").otherwise(F.col("history")))
 
 
 def followups(rows: DataFrame) -> DataFrame:
-    """C11: a short question takes the previous user text before it."""
+    """C11: a short question takes the previous user text, shortened, before it."""
     order = W.partitionBy("conv_id").orderBy("turn", "text")
-    users = rows.where("role = 'user'").withColumn("previous", F.lag("text").over(order))
-    short = F.size(F.split(F.trim("text"), r"\s+")) <= FOLLOW_UP_WORDS
-    return users.select("conv_id", "turn", F.when(short & F.col("previous").isNotNull(), F.concat(F.substring("previous", 1, PREVIOUS_CHARS), F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("query"))
+    users = rows.where("role = 'user'").withColumn("previous", F.lag("text").over(order)).withColumn("text", F.trim("text"))
+    short = (F.size(F.split("text", r"\s+")) <= FOLLOW_UP_WORDS) & (F.col("previous") != "")
+    return users.select("conv_id", "turn", F.when(short, F.concat(student_text(F.col("previous"), PREVIOUS_CHARS), F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("query"))
 
 
 def titles(rows: DataFrame) -> DataFrame:
-    """A title from the first question: white space collapsed, cut at the limit."""
-    first = rows.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("text"))
-    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return first.select("conv_id", F.when(F.length(clean) > TITLE_CHARS, F.concat(F.rtrim(F.substring(clean, 1, TITLE_CHARS - 1)), F.lit("…"))).otherwise(clean).alias("title"))
+    """A title from the first question: white space collapsed, cut at a word; a default where there is none."""
+    first = rows.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("text"))
+    clean = F.coalesce(collapsed(F.col("text")), F.lit(""))
+    word = F.regexp_replace(F.regexp_replace(F.substring(clean, 1, TITLE_CHARS), " [^ ]*$", ""), "[ ,.;:-]+$", "")
+    return first.select("conv_id", F.when(clean == "", "New conversation").when(F.length(clean) > TITLE_CHARS, F.concat(word, F.lit("…"))).otherwise(clean).alias("title"))
 
 
 def listing(rows: DataFrame) -> DataFrame:
@@ -91,9 +118,17 @@ def listing(rows: DataFrame) -> DataFrame:
 
 
 def grounding(rows: DataFrame) -> DataFrame:
-    """The share of answers that decline, by conversation."""
-    declines = F.lower("text").contains("not ") | F.lower("text").contains("cannot")
-    return rows.where("role = 'assistant'").groupBy("conv_id").agg(F.sum(declines.cast("long")).alias("declined"), F.count(F.lit(1)).alias("answers"))
+    """Whether an answer declines for want of context, by its refusal phrase."""
+    status = F.when(F.lower("text").contains(REFUSAL), "insufficient_context").otherwise("supported")
+    return rows.where("role = 'assistant'").select("conv_id", "turn", status.alias("grounding_status"))
+
+
+def context(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The context block and the numbered citations of each query: its hits in order of rank, a source of several hits cited once."""
+    rows = hits.join(texts, "vec_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "source", "content"))).alias("hits"))  # k hits at most
+    numbered = F.array_distinct(F.transform("hits", lambda h: h["source"]))
+    block = F.array_join(F.transform("hits", lambda h: F.concat(F.lit("["), F.array_position(numbered, h["source"]).cast("string"), F.lit("] "), h["content"])), "\n\n")
+    return rows.select("query_id", F.sha2(block, 256).alias("context_hash"), F.array_join(numbered, "; ").alias("citations"), F.size("hits").cast("long").alias("passages"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +145,28 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
     return top_k(v.where("vec_id % 50 = 0"), v, 2)
 
 
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors stand for documents of their number: the text and its source."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.substring(F.coalesce("text", F.lit("")), 1, 800).alias("content"))
+    return context(_top_k(spark, d), texts)
+
+
+def collapsed_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'), ' ')"
+
+
+def shorten_sql(whole: str, limit: int) -> str:
+    head = f"substring({whole}, 1, {limit})"
+    sentence = f"regexp_extract({head}, '^(.*[.?!]) ', 1)"
+    return f"""CASE WHEN length({whole}) <= {limit} THEN {whole} WHEN length({sentence}) > {limit // 2} THEN {sentence} || ' …' ELSE regexp_replace(regexp_replace({head}, ' [^ ]*$', ''), '[ ,;:-]+$', '') || ' …' END"""
+
+
+def student_sql(text: str, limit: int) -> str:
+    question = f"regexp_extract({text}, '(?m)^[ \\t]*Question:[ \\t]*(.*?)[ \\t\\r]*$', 1)"
+    said = f"CASE WHEN starts_with(ltrim({text}), '{EXPLAIN}') AND {question} <> '' THEN 'Explain more about the quiz question: ' || {question} ELSE {text} END"
+    return shorten_sql(collapsed_sql(said), limit)
+
+
 MESSAGES_SQL = "messages AS (SELECT * FROM conversations WHERE role <> 'system')"
 DOT = "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
 NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -129,6 +186,7 @@ QUERIES = {
     "conversation_titles": lambda s, d: titles(messages(s, d)),
     "conversation_listing": lambda s, d: listing(messages(s, d)),
     "grounding_status": lambda s, d: grounding(messages(s, d)),
+    "context_citations": _context,
 }
 RECENT_SQL = f"""{MESSAGES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last_user FROM messages),
   recent AS (SELECT conv_id, turn, role, text FROM (SELECT *, max(CAST(role = 'user' AS INT)) FILTER (rn <= 6) OVER (PARTITION BY conv_id) AS has_user FROM ranked) WHERE rn <= 6 OR (has_user = 0 AND turn = last_user AND role = 'user'))"""
@@ -136,13 +194,17 @@ ORACLES = {
     "vector_topk": top_k_sql("len(embedding) = 64", 4),
     "scoped_topk": top_k_sql("len(embedding) = 64 AND label IN (1, 2, 3)", 2),
     "recent_messages": f"WITH {RECENT_SQL} SELECT * FROM recent",
-    "history_budget": f"""WITH {RECENT_SQL}, short AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN substring(text, 1, 300) ELSE substring(text, 1, 400) END AS text FROM recent),
-      kept AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS UNBOUNDED PRECEDING) AS used FROM short)
-      SELECT conv_id, count(*) AS messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS history FROM kept WHERE used <= 1800 GROUP BY 1""",
+    "history_budget": f"""WITH {RECENT_SQL}, said AS (SELECT *, CASE WHEN role = 'user' THEN 'Student: ' || {student_sql('text', 300)} ELSE 'Tutor: ' || {shorten_sql(collapsed_sql("regexp_replace(text, '(?i)\\s*\\(source:[^)]*\\)', '', 'g')"), 400)} END AS line FROM recent),
+      kept AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS UNBOUNDED PRECEDING) <= 1800 AS fits FROM said)
+      SELECT conv_id, count(*) FILTER (fits) AS messages, coalesce(string_agg(line, chr(10) ORDER BY turn, role, text) FILTER (fits), 'No previous messages.') AS history FROM kept GROUP BY 1""",
     "followup_query": f"""WITH {MESSAGES_SQL}, users AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS previous FROM messages WHERE role = 'user')
-      SELECT conv_id, turn, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) <= 12 AND previous IS NOT NULL THEN substring(previous, 1, 200) || chr(10) || text ELSE text END AS query FROM users""",
-    "conversation_titles": f"""WITH {MESSAGES_SQL}, firsts AS (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM messages WHERE role = 'user') WHERE rn = 1)
-      SELECT conv_id, CASE WHEN length(c) > 60 THEN rtrim(substring(c, 1, 59)) || '…' ELSE c END AS title FROM firsts""",
+      SELECT conv_id, turn, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) <= 12 AND previous <> '' THEN {student_sql('previous', 200)} || chr(10) || trim(text) ELSE trim(text) END AS query FROM users""",
+    "conversation_titles": f"""WITH {MESSAGES_SQL}, firsts AS (SELECT conv_id, {collapsed_sql('text')} AS c FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM messages WHERE role = 'user') WHERE rn = 1)
+      SELECT conv_id, CASE WHEN coalesce(c, '') = '' THEN 'New conversation' WHEN length(c) > 60 THEN regexp_replace(regexp_replace(substring(c, 1, 60), ' [^ ]*$', ''), '[ ,.;:-]+$', '') || '…' ELSE c END AS title FROM (SELECT DISTINCT conv_id FROM messages) LEFT JOIN firsts USING (conv_id)""",
     "conversation_listing": f"WITH {MESSAGES_SQL} SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM messages GROUP BY 1",
-    "grounding_status": f"WITH {MESSAGES_SQL} SELECT conv_id, CAST(sum(CAST(contains(lower(text), 'not ') OR contains(lower(text), 'cannot') AS INT)) AS BIGINT) AS declined, count(*) AS answers FROM messages WHERE role = 'assistant' GROUP BY 1",
+    "grounding_status": f"""WITH {MESSAGES_SQL} SELECT conv_id, turn, CASE WHEN contains(lower(text), 'don''t know based on the provided documents') THEN 'insufficient_context' ELSE 'supported' END AS grounding_status FROM messages WHERE role = 'assistant'""",
+    "context_citations": f"""WITH hits AS ({top_k_sql("len(embedding) = 64", 4)}), j AS (SELECT query_id, rank, vec_id, source, substring(coalesce(text, ''), 1, 800) AS content FROM hits JOIN documents ON doc_id = vec_id),
+      f AS (SELECT query_id, source, min(rank) AS first FROM j GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM f)
+      SELECT query_id, sha256(string_agg('[' || number || '] ' || content, chr(10) || chr(10) ORDER BY rank)) AS context_hash, any_value(cited) AS citations, count(*) AS passages
+      FROM j JOIN c USING (query_id, source) JOIN (SELECT query_id, string_agg(source, '; ' ORDER BY number) AS cited FROM c GROUP BY 1) USING (query_id) GROUP BY 1""",
 }

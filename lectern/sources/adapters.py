@@ -26,6 +26,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("l_partkey"), F.lit(7)).alias("topic_id"), (F.col("l_returnflag") != "R").alias("is_correct"),
         F.when(F.col("l_linestatus") == "F", "accepted_quality_warning").otherwise("accepted").alias("validation_outcome"),
         F.when(q <= 17, "easy").when(q <= 34, "medium").otherwise("difficult").alias("question_difficulty"),
+        F.pmod(F.col("l_partkey"), F.lit(7)).alias("assessment_capacity"),
         F.col("l_suppkey").alias("tie1"), F.col("l_shipdate").alias("tie2"), F.col("l_extendedprice").alias("tie3"),
     ).distinct()
 
@@ -33,7 +34,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same two tables as DuckDB CTEs.
 ATTEMPTS_SQL = """attempts AS (SELECT o_orderkey AS attempt_id, o_custkey AS student_id, o_orderpriority AS document_id,
   concat_ws('-', CAST(o_custkey AS VARCHAR), o_orderpriority) AS quiz_id, o_orderdate AS submitted_at, o_orderstatus <> 'P' AS completed FROM orders)"""
-ANSWERS_SQL = """answers AS (SELECT DISTINCT l_orderkey AS attempt_id, l_linenumber AS question_id, l_partkey AS concept_id, l_partkey % 7 AS topic_id,
+ANSWERS_SQL = """answers AS (SELECT DISTINCT l_orderkey AS attempt_id, l_linenumber AS question_id, l_partkey AS concept_id, l_partkey % 7 AS topic_id, l_partkey % 7 AS assessment_capacity,
   l_returnflag <> 'R' AS is_correct, CASE WHEN l_linestatus = 'F' THEN 'accepted_quality_warning' ELSE 'accepted' END AS validation_outcome,
   CASE WHEN l_quantity <= 17 THEN 'easy' WHEN l_quantity <= 34 THEN 'medium' ELSE 'difficult' END AS question_difficulty,
   l_suppkey AS tie1, l_shipdate AS tie2, l_extendedprice AS tie3 FROM lineitem)"""
