@@ -72,7 +72,10 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 2048
         part, at = TaskContext.get().partitionId(), 0
         for batch in bounded(batches):
             ids = [tokens.encode(t, tokenizer) + end for t in batch.column(0).to_pylist()]
-            own = np.frombuffer(b"".join(ids), "<u4").astype(dtype).tobytes()
+            wide = np.frombuffer(b"".join(ids), "<u4")
+            if len(wide) and wide.max() > np.iinfo(dtype).max:
+                raise ValueError(f"id {wide.max()} does not fit {dtype}")
+            own = wide.astype(dtype).tobytes()
             bounds = np.cumsum([0, *(len(v) // 4 for v in ids)])
             places = (bounds * width).tolist()
             starts, at = at + bounds[:-1], at + int(bounds[-1])
@@ -162,19 +165,20 @@ def shard_path(root: str, shard: int) -> str:
     return f"{root}/shard-{shard:08d}.bin"
 
 
-def read_slots(folder: str, first: int, count: int, length: int = 2048, sequences_per_shard: int = 2048, dtype: str = "<u2") -> Iterator[np.ndarray]:
-    """Sequences at slots first, first + 1, ...: each shard is opened once and read in order from the first slot asked for."""
-    from pyarrow import fs
+def read_slots(folder: str, first: int, count: int) -> Iterator[np.ndarray]:
+    """Sequences at slots first, first + 1, ...: each shard is opened once and read in order from the first slot asked for. The layout is read from the folder."""
+    from pyarrow import dataset, fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    stride = length * np.dtype(dtype).itemsize
+    layout = dataset.dataset(f"{root}/layout", filesystem=store, format="parquet").to_table().to_pylist()[0]
+    stride, per_shard = layout["length"] * layout["width"], layout["sequences_per_shard"]
     while count:
-        shard, at = divmod(first, sequences_per_shard)
-        some = min(count, sequences_per_shard - at)
+        shard, at = divmod(first, per_shard)
+        some = min(count, per_shard - at)
         with store.open_input_file(shard_path(root, shard)) as f:
             f.seek(at * stride)
             for _ in range(some):
-                yield np.frombuffer(f.read(stride), dtype)
+                yield np.frombuffer(f.read(stride), f"<u{layout['width']}")
         first, count = first + some, count - some
 
 

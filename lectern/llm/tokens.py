@@ -27,7 +27,7 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """`known`: word, with A-Z in lower case as the tokenizer has it, to its ids as unsigned little-endian 32-bit numbers."""
+    """`known`: word, with A-Z in lower case as the tokenizer has it (but for words that could hold a special token), to its ids as unsigned little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         # Spark runs a task for each core; the library's own threads would only compete with them.
@@ -77,7 +77,10 @@ def encode(text: str, path: str) -> bytes:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     encoder = _encoders[path]
-    words = text.encode().lower().split()
+    raw = text.encode()
+    words = raw.lower().split()
+    if b"<|" in raw:  # the tokenizer finds its special tokens before it lowers anything
+        words = [w if b"<|" in w else w.lower() for w in raw.split()]
     try:
         return b"".join(map(encoder.known.__getitem__, words))
     except KeyError:
