@@ -1,11 +1,12 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees judge them by format and context.
 
-Base rules (e-mail, IP, card, phone) always stand. The generators propose far more: any digit chain, address-like word or
-account number. The trees learn on candidates of a bounded sample of documents: those that equal a valid base span are
-examples of personal data, those of the same shape that fail its checks are not. What identifies the base rule itself (its
-leading sign or check) is withheld for half of the examples, so that format and context carry the decision. Probabilities
-are calibrated on a held-out part; for each kind the lowest bound with the asked precision is chosen, and candidates above
-it that touch no chosen span are added, best first.
+Base rules (e-mail, IP, card, phone) always stand. The generators propose far more: any digit chain, defanged or spelled-out
+address, account number. No labelled spans exist, so the trees learn forms that the base rules can't give: the base spans of a
+bounded sample of documents are rewritten in place (`perturb`: "[at]" and "[dot]", defanged IPs, other separators, phones
+without "+"), and the candidate that covers such a span is an example of personal data. Other candidates of these documents
+are counter-examples, and so are rewritten spans whose digits no longer pass the check of a card; candidates after a cue word
+are unclear and left out. Probabilities are calibrated on a held-out part; for each kind the lowest bound with the asked
+precision is chosen, and candidates above it that touch no chosen span are added, best first.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; with no examples of one of the
 two classes nothing is added to the base spans.
@@ -37,14 +38,16 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # The generators' patterns by the kind they propose.
 GENERATORS = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\[at\]|\(at\)|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,23}(?![0-9])"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[\x20]?(?:\[at\]|\(at\)|@)[\x20]?[A-Za-z0-9-]+(?:[\x20]?(?:\[dot\]|\(dot\)|\.)[\x20]?[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]+(?:(?:\.|\[\.\]|\(\.\))[0-9]+){3}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,15}(?![0-9])"),
 }
 # Words before a span that speak for personal data.
 CUES = re.compile(r"(?i)\b(phone|tel|call|mobile|fax|card|visa|account|konto|iban|mail|contact|ip|addr|host|server|telefon|correo|courriel)")
-FEATURES = ("length", "digits", "groups", "longest_group", "separators", "plus", "parens", "luhn", "parts_ok", "at_sign", "cue", "digits_around", "letters_touching", "hex_touching", "is_email", "is_ip", "is_card", "is_phone")
+#: Rewritten forms of each base span.
+FORMS = 8
+FEATURES = ("spelled", "length", "digits", "groups", "longest_group", "separators", "plus", "parens", "luhn", "parts_ok", "at_sign", "cue", "digits_around", "letters_touching", "hex_touching", "is_email", "is_ip", "is_card", "is_phone")
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +96,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     digits = "".join(groups)
     touch = before[-1:] + after[:1]
     return [
-        end - start, len(digits), len(groups), max(map(len, groups), default=0), sum(not c.isalnum() for c in span), span.startswith("+"), "(" in span, len(digits) > 1 and luhn(digits),
+        sum(span.count(t) for t in ("[at]", "(at)", "[dot]", "(dot)", "[.]", "(.)")), end - start, len(digits), len(groups), max(map(len, groups), default=0), sum(not c.isalnum() for c in span), span.startswith("+"), "(" in span, len(digits) > 1 and luhn(digits),
         len(groups) == 4 and all(map(_small, groups)), "@" in span, bool(CUES.search(before)), sum(c.isdigit() for c in before + after), sum(c.isalpha() for c in touch), sum(c in "abcdef0123456789" for c in touch), *(kind == k for k in KINDS),
     ]
 
@@ -110,34 +113,63 @@ class PiiModel:
         return 1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * self.trees.margin(x), -30, 30)))
 
 
-def fit(docs: DataFrame, max_docs: int = 5_000, max_candidates: int = 20_000, precision: float = 0.98) -> PiiModel:
-    """Learn from the candidates of about `max_docs` documents, chosen by a hash of the id, and at most `max_candidates` of them."""
+def perturb(kind: str, span: str, pick: int) -> str:
+    """A base span in a form that the base rules don't take; `pick` chooses among the forms."""
+    if kind == "email":
+        name, _, domain = span.partition("@")
+        at, dot = ((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" @ ", "."), ("@", " [dot] "))[pick % 5]
+        return name + at + domain.replace(".", dot)
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "ip":
+        return span.replace(".", ("[.]", "(.)")[pick % 2])
+    if kind == "card":
+        return ("./"[pick % 2]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    local = digits[-10:]
+    return (f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"00{digits[:2]} {digits[2:5]} {digits[5:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}")[pick % 4]
+
+
+def examples(text: str, salt: int) -> Iterator[tuple[int, list[float], bool]]:
+    """A hash, the features and the class of each example that a text gives."""
+    base = base_spans(text)
+    every = [span for spans in base.values() for span in spans]
+    for kind, a, b in candidates(text):
+        if not CUES.search(text[max(0, a - 24) : a]) and not any(a < e and s < b for s, e in every):
+            yield zlib.crc32(f"{salt}:{kind}:{a}".encode()), describe(text, kind, a, b), False
+    for kind, spans in base.items():
+        for a, b in spans:
+            for pick in range(FORMS):
+                new = perturb(kind, text[a:b], pick)
+                before = text[max(0, a - 60) : a] if pick < FORMS // 2 else text[max(0, a - 60) : a] + ("", "and ", "see ", "from ")[pick % 4]
+                changed = before + new + text[b : b + 60]
+                start, end = len(before), len(before) + len(new)
+                found = (kind, start, end) in candidates(changed)
+                h = zlib.crc32(f"{salt}:{kind}:{a}:{pick}".encode())
+                if found:
+                    yield h, describe(changed, kind, start, end), True
+                if found and kind == "card":  # one digit off: the check fails
+                    wrong = new[:-1] + str((int(new[-1]) + 1 + pick) % 10)
+                    yield h ^ 1, describe(before + wrong + text[b : b + 60], kind, start, end), luhn(re.sub("[^0-9]", "", wrong))
+
+
+def fit(docs: DataFrame, max_docs: int = 5_000, max_examples: int = 20_000, precision: float = 0.98) -> PiiModel:
+    """Learn from examples of about `max_docs` documents, chosen by a hash of the id, and at most `max_examples` of each class."""
     share = min(1.0, max_docs / max(1, docs.count()))
     rows = id_text(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batch: pa.RecordBatch):
-        found = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            base = base_spans(text)
-            for kind, a, b in candidates(text):
-                same = (a, b) in base[kind]
-                if same or not any(a < e and s < b for spans in base.values() for s, e in spans):
-                    found.append((zlib.crc32(f"{doc_id}:{kind}:{a}".encode()), [float(v) for v in describe(text, kind, a, b)], same))
+        found = [e for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in examples(text, doc_id)]
         return [*zip(*found)] if found else [[], [], []]
 
-    got = map_batches(rows, run, "h long, x array<double>, y boolean").orderBy("h").limit(max_candidates).collect()
+    some = map_batches(rows, run, "h long, x array<double>, y boolean")
+    got = [r for y in ("y", "NOT y") for r in some.where(y).orderBy("h").limit(max_examples).collect()]
     y = np.array([r["y"] for r in got], float)
     if not got or y.min() == y.max():
         return PiiModel()
     x, h = np.array([r["x"] for r in got]), np.array([r["h"] for r in got])
-    hidden = x.copy()
-    tell = (y == 1) & (h % 2 == 0)
-    for name in ("plus", "luhn", "at_sign"):
-        hidden[tell, FEATURES.index(name)] = 0
-    held = h % 10 < 3
+    held = h // 2 % 10 < 3
     if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
         return PiiModel()
-    model = PiiModel(boosting.train(hidden[~held], y[~held]))
+    model = PiiModel(boosting.train(x[~held], y[~held]))
     from lectern.llm.toxicity import logistic
 
     margin = model.trees.margin(x[held])
@@ -145,11 +177,19 @@ def fit(docs: DataFrame, max_docs: int = 5_000, max_candidates: int = 20_000, pr
     p = model.probability(x[held])
     for kind in KINDS:
         own = x[held][:, FEATURES.index(f"is_{kind}")] == 1
-        order = np.argsort(-p[own])
-        right = np.cumsum(y[held][own][order]) / (np.arange(own.sum()) + 1) if own.any() else np.zeros(0)
-        good = np.flatnonzero(right >= precision)
-        if len(good):
-            model.least[kind] = max(0.5, float(p[own][order][good[-1]]))
+        order = np.argsort(-p[own], kind="stable")
+        ranked, truth, steps = p[own][order], y[held][own][order], margin[own][order]
+        right = np.cumsum(truth) / (np.arange(len(truth)) + 1)
+        # A bound lets all ties through, and needs a real example at it.
+        whole = np.append(ranked[1:] < ranked[:-1], True) if len(ranked) else np.zeros(0, bool)
+        good = np.flatnonzero((right >= precision) & whole)
+        if len(good) and truth[: good[-1] + 1].any():
+            # Half way to the next example below, as the trees' margin has it; without one below, an even chance.
+            if good[-1] + 1 == len(steps):
+                model.least[kind] = 0.5
+                continue
+            at = (steps[good[-1]] + steps[good[-1] + 1]) / 2
+            model.least[kind] = max(0.5, float(1 / (1 + np.exp(-np.clip(model.line[0] + model.line[1] * at, -30, 30)))))
     return model
 
 

@@ -275,6 +275,33 @@ def test_pii_base_spans(texts):
     assert pii.redact("call +1 555 now", [("phone", 5, 11)]) == "call [PHONE] now"
 
 
+def test_pii_finds_forms_that_the_base_rules_do_not(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(big)
+    rng = random.Random(9)
+    words = "the meeting was moved again and nobody wrote down why it happened so late in that long week of rain".split()
+    rows, want = [], {}
+    for i in range(300):
+        kind = pii.KINDS[i % 4]
+        if kind == "email":
+            span = f"{rng.choice(words)}.{rng.choice(words)}{rng.randrange(99)}@{rng.choice(words)}.{rng.choice(('org', 'com', 'net'))}"
+        elif kind == "ip":
+            span = ".".join(str(rng.randrange(256)) for _ in range(4))
+        elif kind == "card":
+            head = "".join(str(rng.randrange(10)) for _ in range(15))
+            span = next(head + d for d in "0123456789" if pii.luhn(head + d))
+        else:
+            span = f"+{rng.randrange(1, 90)} ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        before = " ".join(rng.choices(words, k=8)) + " "
+        new = pii.perturb(kind, span, rng.randrange(100))
+        rows.append((i, f"{before}{new} " + " ".join(rng.choices(words, k=8))))
+        want[i] = (kind, len(before), len(before) + len(new))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    caught = Counter(want[i][0] for i in want if any(a < want[i][2] and want[i][1] < b for _, a, b in got[i]))
+    print(caught, model.least)
+    assert sum(caught.values()) >= 0.9 * len(rows)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 4))
