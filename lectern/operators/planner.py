@@ -49,7 +49,7 @@ def allocate(topics: DataFrame, cap: int = DOCUMENT_CAP) -> DataFrame:
 
 
 def capacity_report(needed: DataFrame, free: DataFrame) -> DataFrame:
-    """Minutes needed against what a learner's days can hold."""
+    """Minutes needed against what a learner's days can hold."""
     rows = needed.join(intervals.daily_capacity(free).groupBy("owner_id").agg(F.sum("capacity").alias("available")), "owner_id", "left").na.fill(0, ["available"])
     short = F.greatest(F.col("needed") - F.col("available"), F.lit(0))
     return rows.select("owner_id", "needed", "available", short.alias("shortage"), F.when(short == 0, "fits").when(F.col("available") * 2 >= F.col("needed"), "tight").otherwise("at_risk").alias("status"))
