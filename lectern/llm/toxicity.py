@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, strips accents of look-alike letters of other scripts (homoglyphs) and reads digits and signs that
-stand for letters as those letters. The lexicon holds whole words and word beginnings; its weights are the log odds of a
+Folding lower-cases, drops accents and zero-width characters, joins letters that signs keep apart, and reads look-alike letters
+of other scripts (homoglyphs), digits and signs that stand for letters as those letters. The lexicon holds whole words and word beginnings; its weights are the log odds of a
 term in toxic against other labelled rows. Each word counts once, with its heaviest term; words inside an exception phrase
 don't count. The sum, and the sum over the length, go through a logistic curve that is fitted on the same labelled rows.
 
@@ -41,19 +41,25 @@ class Folding(dict):
     """Code point to folded string; what isn't a letter becomes a space."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).lower()
-        c = HOMOGLYPHS.get(c) or SUBSTITUTES.get(c) or unicodedata.normalize("NFKC", c).lower()
-        out = c if c.isalpha() else " "
+        c = chr(code)
+        # Letters without their marks; marks and zero-width characters alone leave nothing.
+        parts = [p for p in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(p) not in ("Mn", "Me", "Cf")]
+        letters = "".join(HOMOGLYPHS.get(p) or SUBSTITUTES.get(p) or p.lower() for p in parts)
+        out = letters if not letters or letters.isalpha() else " "
         self[code] = out
         return out
 
 
+#: Single letters that one sign each keeps apart.
+SPELLED = re.compile(r"(?<!\w)(?:\w[.\-_*]){2,}\w(?!\w)")
+BETWEEN = re.compile(r"[.\-_*]")
 #: Signs that no letter follows end a word.
 LOOSE_SIGNS = re.compile(r"[@$!]+(?!\w)")
 
 
 def folded(text: str, table: Folding) -> str:
     """Letters in single-spaced words, with a space at both ends."""
+    text = SPELLED.sub(lambda m: BETWEEN.sub("", m[0]), text)
     return f" {' '.join(LOOSE_SIGNS.sub(' ', text).translate(table).split())} "
 
 

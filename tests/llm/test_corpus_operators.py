@@ -317,6 +317,7 @@ def test_toxicity_on_held_out_rows(spark, labels):
     assert sum(r.predicted == r.toxic for r in rows) >= 0.93 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     table, machine = toxicity.Folding(), toxicity.ToxicityModel().automaton()
     assert toxicity.folded("You 1d10t, m0r0n! іdiоt", table) == " you idiot moron idiot "
+    assert toxicity.folded("\u00eddiot idi\u200bot i.d.i.o.t i\u0301diot e.g. A_b", table) == " idiot idiot idiot idiot e g a b "
     assert toxicity.features("the trash can", machine, table)[0] == 0 < toxicity.features("you trash", machine, table)[0]
 
 
