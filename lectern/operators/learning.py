@@ -49,7 +49,7 @@ def topic_mastery(answers: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def _topic_mastery(spark: SparkSession, d: str) -> DataFrame:
-    return topic_mastery(A.answers(spark, d), A.attempts(spark, d))
+    return topic_mastery(A.answers(spark, d, distinct=False), A.attempts(spark, d))
 
 
 LATEST_SQL = """latest AS (SELECT * FROM (SELECT a.*, t.student_id, t.document_id, t.quiz_id, t.submitted_at, row_number() OVER (PARTITION BY student_id, document_id, topic_id, quiz_id, question_id

@@ -17,18 +17,20 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(attempt_id, question_id) isn't unique in the source; `seq` columns complete the order."""
+def answers(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """(attempt_id, question_id) isn't unique in the source; the `tie` columns complete the order. Readers that rank the answers need no
+    `distinct` rows, which cost a shuffle."""
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
-    return li.select(
+    rows = li.select(
         F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("question_id"), F.col("l_partkey").alias("concept_id"),
         F.pmod(F.col("l_partkey"), F.lit(7)).alias("topic_id"), (F.col("l_returnflag") != "R").alias("is_correct"),
         F.when(F.col("l_linestatus") == "F", "accepted_quality_warning").otherwise("accepted").alias("validation_outcome"),
         F.when(q <= 17, "easy").when(q <= 34, "medium").otherwise("difficult").alias("question_difficulty"),
         F.pmod(F.col("l_partkey"), F.lit(7)).alias("assessment_capacity"),
         F.col("l_suppkey").alias("tie1"), F.col("l_shipdate").alias("tie2"), F.col("l_extendedprice").alias("tie3"),
-    ).distinct()
+    )
+    return rows.distinct() if distinct else rows
 
 
 #: The same two tables as DuckDB CTEs.
