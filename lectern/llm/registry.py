@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, secrets, shards, toxicity
+from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, secrets, shards, shuffle, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_hypergeometric_shuffle": shuffle.op11_hypergeometric_shuffle,
     }
 
 
