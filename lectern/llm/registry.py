@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, secrets, shards, shuffle, toxicity
+from lectern.llm import decontamination, licenses, line_dedup, ngram_join, packing, pii, quality, ranked_search, secrets, shards, shuffle, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
         "op11_hypergeometric_shuffle": shuffle.op11_hypergeometric_shuffle,
+        "op12_best_position_search": ranked_search.op12_best_position_search,
+        "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, tokenise or estimate; they are tested against brute force and held-out rows."""
-    return {"op2_secret_scan": secrets.oracle(), "op4_ngram_join": ngram_join.ORACLE}
+    return {"op2_secret_scan": secrets.oracle(), "op4_ngram_join": ngram_join.ORACLE, "op12_best_position_search": ranked_search.ORACLE, "op13_prefix_trie": trie.ORACLE}
