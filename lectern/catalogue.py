@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, records, retrieval, structure, upkeep
+from lectern.operators import assessment, corpus, intervals, learning, metrics, planner, records, retrieval, scheduling, structure, upkeep
 from lectern.streaming import activity
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, records, structure, upkeep, activity):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, scheduling, records, structure, upkeep, activity):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

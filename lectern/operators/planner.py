@@ -48,13 +48,6 @@ def allocate(topics: DataFrame, cap: int = DOCUMENT_CAP) -> DataFrame:
     return taken.groupBy("document_id", "topic_id").agg((F.count(F.lit(1)) + F.max("repeats")).alias("questions"))
 
 
-def capacity_report(needed: DataFrame, free: DataFrame) -> DataFrame:
-    """Minutes needed against what a learner's days can hold."""
-    rows = needed.join(intervals.daily_capacity(free).groupBy("owner_id").agg(F.sum("capacity").alias("available")), "owner_id", "left").na.fill(0, ["available"])
-    short = F.greatest(F.col("needed") - F.col("available"), F.lit(0))
-    return rows.select("owner_id", "needed", "available", short.alias("shortage"), F.when(short == 0, "fits").when(F.col("available") * 2 >= F.col("needed"), "tight").otherwise("at_risk").alias("status"))
-
-
 def calendar_diff(wanted: DataFrame, linked: DataFrame) -> DataFrame:
     """What to create, update, delete or leave, by a hash of the payload."""
     rows = wanted.join(linked, "session_id", "full_outer")
@@ -78,10 +71,6 @@ def lineage(rows: DataFrame) -> DataFrame:
     return current
 
 
-def _needed(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.sessions(spark, d).groupBy("owner_id").agg((F.sum("minutes") * 2).cast("long").alias("needed"))
-
-
 def _wanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = intervals.sessions(spark, d)
     payload = F.sha2(F.concat_ws("|", F.col("owner_id").cast("string"), F.col("day").cast("string"), F.col("s").cast("string"), F.col("e").cast("string")), 256)
@@ -105,7 +94,6 @@ QUERIES = {
     "base_priority": lambda s, d: base_priority(needs(s, d)),
     "largest_remainder": lambda s, d: largest_remainder(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("owner_id"), F.pmod("l_partkey", F.lit(7)).alias("topic_id")).agg(F.count(F.lit(1)).alias("score")), 600),
     "topic_allocation": lambda s, d: allocate(_topics(s, d)),
-    "capacity_report": lambda s, d: capacity_report(_needed(s, d), intervals._free(s, d)),
     "calendar_diff": lambda s, d: calendar_diff(*_wanted(s, d)),
     "session_lineage": lambda s, d: lineage(_chains(s, d)),
 }
@@ -118,8 +106,6 @@ ORACLES = {
       v AS (SELECT *, greatest(40 - sum(cap) OVER (PARTITION BY document_id), 0) AS extra, count(*) OVER (PARTITION BY document_id) AS topics FROM p WHERE place <= 40),
       s AS (SELECT *, unnest(range(1, least(cap, 40) + 1)) AS n FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN n = 1 THEN 0 ELSE 1 END, CASE WHEN n > 1 THEN n - cap - 1 END NULLS FIRST, topic_id) AS rank FROM s)
       SELECT document_id, topic_id, CAST(count(*) + max(extra // topics + CASE WHEN place <= extra % topics THEN 1 ELSE 0 END) AS BIGINT) AS questions FROM r WHERE rank <= 40 GROUP BY 1, 2""",
-    "capacity_report": f"""WITH {intervals.free_sql(0)}, days AS (SELECT owner_id, day, least(sum(e - s), 90) AS capacity FROM free GROUP BY 1, 2), a AS (SELECT owner_id, CAST(sum(capacity) AS BIGINT) AS available FROM days GROUP BY 1), n AS (SELECT owner_id, CAST(sum(minutes) * 2 AS BIGINT) AS needed FROM sessions GROUP BY 1),
-      j AS (SELECT n.owner_id, needed, coalesce(available, 0) AS available FROM n LEFT JOIN a USING (owner_id)) SELECT *, greatest(needed - available, 0) AS shortage, CASE WHEN needed <= available THEN 'fits' WHEN available * 2 >= needed THEN 'tight' ELSE 'at_risk' END AS status FROM j""",
     "calendar_diff": f"""WITH {intervals.SESSIONS_SQL}, w AS (SELECT session_id, {PAYLOAD} AS p FROM sessions WHERE session_id % 11 <> 0), l AS (SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'old' ELSE {PAYLOAD} END AS k FROM sessions WHERE session_id % 7 <> 0)
       SELECT session_id, CASE WHEN k IS NULL THEN 'create' WHEN p IS NULL THEN 'delete' WHEN k <> p THEN 'update' ELSE 'unchanged' END AS action FROM w FULL OUTER JOIN l USING (session_id)""",
     "session_lineage": f"WITH {intervals.SESSIONS_SQL} SELECT session_id, first_value(session_id) OVER (PARTITION BY owner_id, day ORDER BY s, session_id) AS origin FROM sessions",
