@@ -110,9 +110,10 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
     """Tells rows apart that have one doc_id but different texts; rows that repeat each other have one key."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+    doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

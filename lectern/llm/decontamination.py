@@ -13,7 +13,8 @@ The benchmark's window hashes are looked up inside the scan where they are few (
 every window of the corpus is joined by hash.
 
 Defined results: null and empty texts match nothing; items without a window of enough literal words match exact copies; a
-shorter item is one window of its own length; repeated rows of a document or an item count as one.
+shorter item is one window of its own length; repeated rows of a document or an item count as one. Rows of one id with unlike
+texts are judged each on its own, of documents as of items; find_leaks then reports the best covered of a (doc_id, item_id).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, id_text, map_batches, stage, window_hashes, word_hashes
+from lectern.llm.common import documents, id_text, map_batches, row_key, stage, window_hashes, word_hashes
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -111,36 +112,36 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """The readings of the item's windows, raw ones included; n_windows of them have enough literal words (typed), n_all there are; a short item has one window of its own length."""
 
     def run(batch: pa.RecordBatch):
-        out: list[list] = [[] for _ in range(10)]
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out: list[list] = [[] for _ in range(11)]
+        for item, text, key in zip(*(c.to_pylist() for c in batch.columns)):
             words, kinds = read_words(text)
             width = min(size, len(words))
             found = readings(words, np.array(kinds), width) if width else []
             typed = {at for ats, _, places in found if places == () for at in ats.tolist()}
             for ats, hashes, places in found:
                 for at, h in zip(ats.tolist(), hashes.astype(np.int64).tolist()):
-                    for column, v in zip(out, (item, at, width, h, values(words, kinds, at, width, places), places is None, len(places or ()), at in typed, len(typed), len(words) - width + 1)):
+                    for column, v in zip(out, (item, key, at, width, h, values(words, kinds, at, width, places), places is None, len(places or ()), at in typed, len(typed), len(words) - width + 1)):
                         column.append(v)
         return out
 
-    items = id_text(benchmark, "item_id").dropDuplicates(["doc_id"])
-    return map_batches(items, run, "item_id long, item_at int, width int, h long, item_values array<string>, raw boolean, item_names int, typed boolean, n_windows int, n_all int")
+    items = id_text(benchmark, "item_id").distinct()
+    return map_batches(items.withColumn("key", row_key()), run, "item_id long, item_key long, item_at int, width int, h long, item_values array<string>, raw boolean, item_names int, typed boolean, n_windows int, n_all int")
 
 
 def document_windows(docs: DataFrame, widths: list[int], lookup: np.ndarray | None) -> DataFrame:
-    """doc_id, doc_at, h, doc_values, doc_names (possible names read as names) of the windows in `lookup`, or of all."""
+    """doc_id, doc_key, doc_at, h, doc_values, doc_names (possible names read as names) of the windows in `lookup`, or of all."""
     # One byte for each of 4M hash values answers for nearly all windows that match nothing.
     table = np.full(1 << 22, lookup is None)
     if lookup is not None:
         table[(lookup & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def run(batch: pa.RecordBatch):
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(6)]
         found = [read_words(t) for t in batch.column(1).to_pylist()]
         starts = np.cumsum([0, *(len(words) for words, _ in found)])
         every = [w for words, _ in found for w in words]
         kinds = np.array([k for _, own in found for k in own], np.int64)
-        ids = batch.column(0).to_pylist()
+        ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for width in widths:
             for ats, h, places in readings(every, kinds, width):
                 among = table[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
@@ -152,15 +153,15 @@ def document_windows(docs: DataFrame, widths: list[int], lookup: np.ndarray | No
                 inside = ats + width <= starts[row + 1]  # not across two texts
                 for k, r, code in zip(ats[inside].tolist(), row[inside].tolist(), h[inside].astype(np.int64).tolist()):
                     own = k - int(starts[r])
-                    for column, v in zip(out, (ids[r], own, code, values(*found[r], own, width, places) if places is not None else [], len(places or ()))):
+                    for column, v in zip(out, (ids[r], keys[r], own, code, values(*found[r], own, width, places) if places is not None else [], len(places or ()))):
                         column.append(v)
         return out
 
-    return map_batches(id_text(docs), run, "doc_id long, doc_at int, h long, doc_values array<string>, doc_names int")
+    return map_batches(id_text(docs).withColumn("key", row_key()), run, "doc_id long, doc_key long, doc_at int, h long, doc_values array<string>, doc_names int")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """One row for each (doc_id, item_id) that is leaked: windows covered, windows of the item, coverage, and whether slots differ from the item's."""
+def leaks_by_row(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """One row for each distinct text of a doc_id (doc_key) and of an item_id that is leaked into it: windows covered, windows of the item, coverage, and whether slots differ from the item's."""
     items = stage(item_windows(benchmark, size), "benchmark_windows")
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most `size` numbers
     lookup = None
@@ -168,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
         lookup = np.array(sorted({r["h"] for r in items.select("h").distinct().collect()}), np.int64).astype(np.uint64)
         lookup.sort()
     hits = stage(document_windows(docs, widths, lookup).join(items, "h").withColumn("shift", F.col("doc_at") - F.col("item_at")), "hits")
-    pair = ["doc_id", "item_id"]
+    pair = ["doc_id", "doc_key", "item_id", "item_key"]
     # A raw window holds the item's own words. Of a window's readings the one with the fewest possible names counts.
     reading = F.struct(F.greatest("item_names", "doc_names").alias("names"), "item_values", F.when(F.col("raw"), F.col("item_values")).otherwise(F.col("doc_values")).alias("doc_values"))
     rows = hits.groupBy(*pair, "shift", "item_at", "typed", "n_windows", "n_all").agg(F.min(reading).alias("r")).select(*pair, "shift", "item_at", "typed", "n_windows", "n_all", "r.*")
@@ -187,10 +188,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
     return out.select(*pair, "covered", "n_windows", (F.col("covered") / F.col("n_windows")).alias("coverage"), "reparameterised")
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, lookup_limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """One row for each (doc_id, item_id) that is leaked: covered, n_windows, coverage, reparameterised."""
+    found = leaks_by_row(docs, benchmark, size, coverage, lookup_limit)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "covered", "n_windows", "reparameterised")).alias("b"))
+    return best.select("doc_id", "item_id", "b.covered", "b.n_windows", "b.coverage", "b.reparameterised")
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents into which no item is leaked, all columns as they are."""
-    leaked = stage(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Rows into whose text no item is leaked, all columns as they are."""
+    leaked = stage(leaks_by_row(docs, benchmark).select("doc_key").distinct(), "leaked")
+    return docs.join(leaked, row_key(docs["doc_id"], docs["text"]) == leaked["doc_key"], "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
