@@ -71,9 +71,15 @@ def parse_expression(text: str) -> Reading | None:
     expect_operand, at, whole = True, 0, True
 
     def apply(op: str) -> None:
+        nonlocal whole
         b, a = output.pop(), output.pop()
         if op == "with":
-            output.append(Reading({f"{x}-with-{next(iter(b.labels))}" for x in a.labels}, a.rank))
+            # More than one exception is no valid expression: all that it names is kept, each name for itself.
+            if len(b.labels) == 1:
+                output.append(Reading({f"{x}-with-{y}" for x in a.labels for y in b.labels}, a.rank))
+            else:
+                output.append(Reading(a.labels | {f"with-{y}" for y in b.labels}, a.rank))
+                whole = False
         else:
             # The smaller set goes into the larger one, so that long expressions do not copy their labels at each operator.
             few, many = sorted((a.labels, b.labels), key=len)

@@ -263,7 +263,7 @@ def grouped_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         common_size = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common_size >= percent * (F.size("x") + F.size("y") - common_size)).select("a", "b")
 
-    labels = connect(kept, verify, fits, sketches.drop("n"), close, scratch=scratch)
+    labels = connect(kept, verify, fits, sketches.drop("n"), close, scratch=scratch, order="pos")
     found = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("class"))
     rows = scratch.stage(sets.select("doc_id", "doc_key", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "doc_key", "n_shingles", "class"), "rows")
     firsts_ = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "doc_key")).alias("first"))
@@ -281,8 +281,8 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one of smallest id (rows that repeat it stay with it); documents without words stay. All columns as they are."""
     groups = grouped_rows(docs, width, percent)
-    gone = groups.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("doc_key") != F.col("first.doc_key"))).select(F.col("doc_key").alias("_key")).distinct()
-    return docs.join(gone, row_key() == F.col("_key"), "left_anti").select(*docs.columns)
+    gone = groups.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("doc_key") != F.col("first.doc_key"))).select("doc_key").distinct()
+    return docs.join(gone, row_key(docs["doc_id"], docs["text"]) == gone["doc_key"], "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

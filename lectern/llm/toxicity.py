@@ -6,7 +6,8 @@ term in toxic against other labelled rows. Each word counts once, with its heavi
 don't count. The sum, and the sum over the length, go through a logistic curve that is fitted on the same labelled rows.
 
 Defined results: a null or empty text has no words and gets the curve's value at zero; repeated rows are scored one by one;
-with no labelled rows of one of the two classes the fixed lexicon and a fixed curve are used.
+labels of one doc_id that contradict each other count as toxic; with no labelled rows of one of the two classes the fixed
+lexicon and a fixed curve are used.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     """At most about `max_rows` labelled rows outside the held-out fold, chosen by a hash of the id. The bound makes the label side small enough to broadcast."""
     usable = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, max_rows / max(1, usable.count()))
-    few = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    few = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return id_text(docs).join(F.broadcast(few), "doc_id")
 
 

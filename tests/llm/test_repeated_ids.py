@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("lectern.llm")
-from lectern.llm import decontamination  # noqa: E402
+from lectern.llm import decontamination, licenses, ngram_join, toxicity  # noqa: E402
 
 DOC, ITEM = "doc_id long, text string", "item_id long, text string"
 QUESTION = "A farmer keeps brown hens in a wooden barn near the river and sells their eggs at the market every week"
@@ -60,3 +60,43 @@ def test_two_hundred_changed_questions(spark):
     found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()}
     assert len({k for k in range(200) if (k, k) in found}) >= 180
     assert not {d for d, _ in found if d >= 1000}
+
+
+def test_groups_on_a_table_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, QUESTION, 1, 2, 3), (2, QUESTION, 1, 2, 3), (3, "another text of some words here", 1, 2, 3)], DOC + ", _key int, doc_key int, keys int")
+    assert sorted(r.doc_id for r in ngram_join.keep_first(docs).collect()) == [1, 3]
+
+
+def test_labels_that_contradict_count_as_toxic(spark):
+    docs = spark.createDataFrame([(k, "some words") for k in range(40)], DOC)
+    labels = spark.createDataFrame([(k, 0, t) for k in range(40) for t in (0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.toxic for r in toxicity.training_rows(docs, labels, 100).collect()} == {1}
+
+
+def test_with_more_than_one_exception():
+    reading = licenses.parse_expression("GPL-2.0 WITH (Classpath-exception-2.0 OR Bison-exception-2.2)")
+    assert len(reading.labels) == 3 and not reading.whole and {x for x in reading.labels if x.startswith("with-")} == {"with-classpath-exception-2.0", "with-bison-exception-2.2"}
+    assert licenses.parse_expression("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT").whole
+
+
+def test_many_near_copies_of_each_other_meet_once(spark):
+    """Copies with a few words changed each: components as brute force has them."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(60)]
+    docs = []
+    for k in range(60):
+        own = list(words)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            own[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        docs.append((k, " ".join(own)))
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(57)} for k, t in docs}
+    near = {k: {j for j in sets if 100 * len(sets[k] & sets[j]) >= 85 * len(sets[k] | sets[j])} for k in sets}
+    want = {}
+    for k in sets:
+        seen, todo = {k}, [k]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        want[k] = min(seen)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == want and len(set(want.values())) > 1
