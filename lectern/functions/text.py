@@ -35,3 +35,21 @@ def shingled(text: Column, size: int) -> Column:
 def _udf(run, kind: str):
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # real types: Spark doesn't resolve names of a closure
     return F.pandas_udf(run, kind)
+
+
+AROUND = "[\\s.,;:!?\"'`“”‘’«»()\\[\\]{}<>…]+"
+SURROUNDING = re.compile(f"^{AROUND}|{AROUND}$")
+
+
+def answer_form(text: str | None) -> str:
+    """A written answer as it is compared: compatible forms and cases made one, blanks collapsed, punctuation around it dropped."""
+    return SURROUNDING.sub("", re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").casefold()).strip()).strip()
+
+
+def answer_forms(lists: Column) -> Column:
+    """The forms of an array of arrays of written answers, null where it is null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if rows is None else [[answer_form(x) for x in (() if row is None else row)] for row in rows] for rows in texts], dtype=object)
+
+    return _udf(run, "array<array<string>>")(lists)

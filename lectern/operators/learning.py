@@ -15,53 +15,72 @@ LEVELS = ((85, "Mastered"), (70, "Proficient"), (50, "Developing"))
 LEAST_ANSWERS, COVERAGE = 3, 0.6
 
 
-def weight_of(column: str, weights: dict[str, float], blank: str | None = None) -> F.Column:
-    """Weight by value, 1.0 for unknown ones."""
-    value = F.when(F.trim(F.col(column)) == "", blank).otherwise(F.col(column)) if blank else F.col(column)
-    out = F.lit(1.0)
-    for k, v in weights.items():
-        out = F.when(value == k, F.lit(v)).otherwise(out)
-    return out
+def weight_of(column: F.Column, weights: dict[str, float], blank: str) -> F.Column:
+    """Weight by value, 1.0 for unknown ones; a missing or empty value counts as `blank`."""
+    value = F.when(F.coalesce(column, F.lit("")) == "", blank).otherwise(column)
+    return F.coalesce(*(F.when(value == k, F.lit(v)) for k, v in weights.items()), F.lit(1.0))
+
+
+TOPIC = ["student_id", "document_id", "topic_id"]
 
 
 def latest_answers(answers: DataFrame, attempts: DataFrame) -> DataFrame:
-    """the newest response to each question of a quiz and topic, submitted attempts only."""
-    rows = answers.join(attempts.where("submitted_at IS NOT NULL AND completed"), "attempt_id")
-    w = W.partitionBy("student_id", "document_id", "topic_id", "quiz_id", "question_id").orderBy(
-        F.desc("submitted_at"), F.desc("attempt_id"), F.desc("concept_id"), F.desc("tie1"), F.desc("tie2"), F.desc("tie3"), F.desc("question_difficulty"), F.desc("validation_outcome"), F.desc("is_correct"))
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """the newest response to each question of a quiz and topic, submitted attempts only, without practice on flashcards.
+
+    The rows are dealt out by topic once; what ranks and adds them up needs no other partitioning."""
+    for name in ("concept_origin", "concept_plan_id"):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(None).cast("string"))
+    rows = answers.where(~F.col("concept_origin").eqNullSafe("flashcard")).join(attempts.where("submitted_at IS NOT NULL AND completed"), "attempt_id").repartition(*TOPIC)
+    ties = [F.desc(c) for c in ("concept_id", "tie1", "tie2", "tie3", "question_difficulty", "validation_outcome", "is_correct") if c in rows.columns]
+    newest = W.partitionBy(*TOPIC, "quiz_id", "question_id").orderBy(F.desc("submitted_at"), F.desc("attempt_id"), *ties)
+    return rows.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+
+
+def newest_plan(snapshots: DataFrame) -> DataFrame:
+    """of a learner's answers to a topic, those under its newest concept plan; all of them where none was planned."""
+    planned = F.when(F.trim(F.coalesce("concept_plan_id", F.lit(""))) != "", F.struct("submitted_at", "attempt_id", "concept_plan_id"))
+    rows = snapshots.withColumn("newest", F.max(planned).over(W.partitionBy(*TOPIC))["concept_plan_id"])
+    return rows.where("newest IS NULL OR concept_plan_id = newest").drop("newest")
 
 
 def topic_mastery(answers: DataFrame, attempts: DataFrame) -> DataFrame:
     """weighted score, coverage and level of each learner's topics. With a concept plan (capacity > 0) enough of its concepts must be met, else three answers do."""
-    weight = weight_of("question_difficulty", DIFFICULTY, "easy") * weight_of("validation_outcome", OUTCOME)
-    g = latest_answers(answers, attempts).groupBy("student_id", "document_id", "topic_id").agg(
+    weight = weight_of(F.lower("question_difficulty"), DIFFICULTY, "easy") * weight_of(F.col("validation_outcome"), OUTCOME, "accepted")
+    concept = F.when(F.trim(F.col("concept_id").cast("string")) != "", F.col("concept_id").cast("string"))
+    g = newest_plan(latest_answers(answers, attempts)).groupBy(*TOPIC).agg(
         F.sum(F.when(F.col("is_correct"), weight).otherwise(0.0)).alias("earned"), F.sum(weight).alias("possible"), F.count(F.lit(1)).alias("answered"),
-        F.sum(F.col("is_correct").cast("long")).alias("correct"), F.countDistinct("concept_id").alias("concepts"), F.countDistinct("quiz_id").alias("quizzes"), F.max("submitted_at").alias("last_evidence_at"), F.coalesce(F.max("assessment_capacity"), F.lit(0)).alias("capacity"))
-    score = F.when(F.col("possible") > 0, F.floor(100 * F.col("earned") / F.col("possible") * 100 + 0.5) / 100).otherwise(0.0)
-    required = F.least("capacity", F.greatest(F.lit(1), F.ceil(F.col("capacity") * COVERAGE)))
-    enough = F.when(F.col("capacity") > 0, F.col("concepts") >= required).otherwise(F.col("answered") >= LEAST_ANSWERS)
+        F.sum(F.col("is_correct").cast("long")).alias("correct"), F.size(F.collect_set(concept)).cast("long").alias("concepts"), F.size(F.collect_set("quiz_id")).cast("long").alias("quizzes"), F.max("submitted_at").alias("last_evidence_at"), F.coalesce(F.max("assessment_capacity"), F.lit(0)).cast("long").alias("capacity"))
+    score = F.when(F.col("possible") > 0, two_places(100 * F.col("earned") / F.col("possible"))).otherwise(0.0)
+    planned = F.col("capacity") > 0
+    required = F.when(planned, F.least("capacity", F.greatest(F.lit(1), F.ceil(F.col("capacity") * COVERAGE)))).otherwise(0)
+    ratio = F.when(planned, F.floor(F.least(F.lit(1.0), F.col("concepts") / F.col("capacity")) * 10000 + 0.5) / 10000).otherwise(0.0)
+    enough = F.when(planned, F.col("concepts") >= F.col("required")).otherwise(F.col("answered") >= LEAST_ANSWERS)
     level = F.lit("Weak")
     for bound, name in reversed(LEVELS):
         level = F.when(F.col("score") >= bound, name).otherwise(level)
-    return g.withColumn("score", score).withColumn("sufficient", enough).withColumn("level", F.when(~enough, "Insufficient evidence").otherwise(level)).select(
-        "student_id", "document_id", "topic_id", "answered", "correct", "concepts", "quizzes", "score", "sufficient", "level", "last_evidence_at")
+    g = g.withColumn("score", score).withColumn("required", required).withColumn("coverage", ratio).withColumn("sufficient", enough)
+    return g.withColumn("level", F.when(~F.col("sufficient"), "Insufficient evidence").otherwise(level)).select(
+        *TOPIC, "answered", "correct", "concepts", "quizzes", "capacity", F.col("required").cast("long").alias("required"), "coverage", "score", "sufficient", "level", "last_evidence_at")
 
 
 def _topic_mastery(spark: SparkSession, d: str) -> DataFrame:
-    return topic_mastery(A.answers(spark, d, distinct=False), A.attempts(spark, d))
+    return topic_mastery(A.evidence(spark, d), A.attempts(spark, d))
 
 
 LATEST_SQL = """latest AS (SELECT * FROM (SELECT a.*, t.student_id, t.document_id, t.quiz_id, t.submitted_at, row_number() OVER (PARTITION BY student_id, document_id, topic_id, quiz_id, question_id
   ORDER BY submitted_at DESC, a.attempt_id DESC, concept_id DESC, tie1 DESC, tie2 DESC, tie3 DESC, question_difficulty DESC, validation_outcome DESC, is_correct DESC) AS rn
-  FROM answers a JOIN attempts t ON a.attempt_id = t.attempt_id WHERE t.completed AND t.submitted_at IS NOT NULL) WHERE rn = 1)"""
-MASTERY_SQL = """weighted AS (SELECT *, CASE question_difficulty WHEN 'easy' THEN 1.0 WHEN 'medium' THEN 1.5 ELSE 2.0 END * CASE validation_outcome WHEN 'accepted_quality_warning' THEN 0.75 ELSE 1.0 END AS weight FROM latest),
+  FROM evidence a JOIN attempts t ON a.attempt_id = t.attempt_id WHERE t.completed AND t.submitted_at IS NOT NULL AND concept_origin IS DISTINCT FROM 'flashcard') WHERE rn = 1),
+  plans AS (SELECT student_id, document_id, topic_id, concept_plan_id AS newest FROM latest WHERE trim(concept_plan_id) <> '' QUALIFY row_number() OVER (PARTITION BY student_id, document_id, topic_id ORDER BY submitted_at DESC, attempt_id DESC, concept_plan_id DESC) = 1)"""
+MASTERY_SQL = """weighted AS (SELECT latest.*, CASE lower(question_difficulty) WHEN 'medium' THEN 1.5 WHEN 'difficult' THEN 2.0 ELSE 1.0 END * CASE validation_outcome WHEN 'accepted_quality_warning' THEN 0.75 ELSE 1.0 END AS weight
+  FROM latest LEFT JOIN plans USING (student_id, document_id, topic_id) WHERE newest IS NULL OR concept_plan_id = newest),
 grouped AS (SELECT student_id, document_id, topic_id, CAST(sum(CASE WHEN is_correct THEN weight ELSE 0 END) AS DOUBLE) AS earned, CAST(sum(weight) AS DOUBLE) AS possible, count(*) AS answered,
-  CAST(sum(CAST(is_correct AS INT)) AS BIGINT) AS correct, count(DISTINCT concept_id) AS concepts, count(DISTINCT quiz_id) AS quizzes, max(submitted_at) AS last_evidence_at, coalesce(max(assessment_capacity), 0) AS capacity FROM weighted GROUP BY ALL),
-scored AS (SELECT *, CASE WHEN capacity > 0 THEN concepts >= least(capacity, greatest(1, ceil(capacity * CAST(0.6 AS DOUBLE)))) ELSE answered >= 3 END AS enough, CASE WHEN possible > 0 THEN floor(100 * earned / possible * 100 + 0.5) / 100 ELSE 0.0 END AS score FROM grouped),
-mastery AS (SELECT student_id, document_id, topic_id, answered, correct, concepts, quizzes, score, enough AS sufficient, CASE WHEN NOT enough THEN 'Insufficient evidence' WHEN score >= 85 THEN 'Mastered'
-  WHEN score >= 70 THEN 'Proficient' WHEN score >= 50 THEN 'Developing' ELSE 'Weak' END AS level, last_evidence_at FROM scored)"""
-BASE_SQL = f"WITH {A.ATTEMPTS_SQL}, {A.ANSWERS_SQL}, {LATEST_SQL}, {MASTERY_SQL}"
+  CAST(sum(CAST(is_correct AS INT)) AS BIGINT) AS correct, count(DISTINCT nullif(trim(concept_id), '')) AS concepts, count(DISTINCT quiz_id) AS quizzes, max(submitted_at) AS last_evidence_at, coalesce(max(assessment_capacity), 0) AS capacity FROM weighted GROUP BY ALL),
+scored AS (SELECT *, CAST(CASE WHEN capacity > 0 THEN least(capacity, greatest(1, ceil(capacity * CAST(0.6 AS DOUBLE)))) ELSE 0 END AS BIGINT) AS required, CASE WHEN capacity > 0 THEN floor(least(1.0, concepts / capacity) * 10000 + 0.5) / 10000 ELSE 0.0 END AS coverage, CASE WHEN possible > 0 THEN floor(100 * earned / possible * 100 + 0.5) / 100 ELSE 0.0 END AS score FROM grouped),
+judged AS (SELECT *, CASE WHEN capacity > 0 THEN concepts >= required ELSE answered >= 3 END AS enough FROM scored),
+mastery AS (SELECT student_id, document_id, topic_id, answered, correct, concepts, quizzes, CAST(capacity AS BIGINT) AS capacity, required, CAST(coverage AS DOUBLE) AS coverage, score, enough AS sufficient, CASE WHEN NOT enough THEN 'Insufficient evidence' WHEN score >= 85 THEN 'Mastered'
+  WHEN score >= 70 THEN 'Proficient' WHEN score >= 50 THEN 'Developing' ELSE 'Weak' END AS level, last_evidence_at FROM judged)"""
+BASE_SQL = f"WITH {A.ATTEMPTS_SQL}, {A.ANSWERS_SQL}, {A.EVIDENCE_SQL}, {LATEST_SQL}, {MASTERY_SQL}"
 
 
 def attempt_scores(answers: DataFrame, attempts: DataFrame) -> DataFrame:

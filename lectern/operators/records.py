@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from lectern.operators import corpus
+from lectern.operators import corpus, learning
 from lectern.sources import adapters as A
 from lectern.sources.tables import table
 
@@ -49,10 +49,12 @@ def unreferenced(objects: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merged_pages(pages: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Recovered text takes the place of a page's text layer only where it is longer."""
-    rows = pages.join(recovered, ["document_id", "page"], "left")
-    longer = F.coalesce(F.length("recovered"), F.lit(0)) > F.length("content")
-    return rows.select("document_id", "page", longer.alias("replaced"), F.sha2(F.when(longer, F.col("recovered")).otherwise(F.col("content")), 256).alias("page_hash"))
+    """Recovered text takes the place of a page's text layer where it is longer; pages without a text layer are added. Pages keep their numbers."""
+    rows = pages.join(recovered, ["document_id", "page"], "full_outer")
+    layer, found = F.coalesce("content", F.lit("")), F.coalesce("recovered", F.lit(""))
+    longer = F.length(found) > F.length(layer)
+    rows = rows.where(F.col("content").isNotNull() | longer)
+    return rows.select("document_id", "page", longer.alias("replaced"), F.sha2(F.when(longer, found).otherwise(layer), 256).alias("page_hash"))
 
 
 def majority_language(cards: DataFrame) -> DataFrame:
@@ -62,18 +64,10 @@ def majority_language(cards: DataFrame) -> DataFrame:
     return cards.join(best, "owner_id", "left").where("lang IS NULL OR lang = majority").select("owner_id", "document_id", "lang")
 
 
-def newest_plan(snapshots: DataFrame) -> DataFrame:
-    """of a learner's answers to a topic, those under its newest concept plan; all of them where none was planned."""
-    own = W.partitionBy("student_id", "document_id", "topic_id")
-    newest = F.max(F.when(F.col("concept_plan_id").isNotNull(), F.struct("submitted_at", "attempt_id", "concept_plan_id"))).over(own)
-    rows = snapshots.withColumn("newest", newest["concept_plan_id"])
-    return rows.where("newest IS NULL OR concept_plan_id = newest").drop("newest")
-
-
 def busy(sessions: DataFrame, plans: DataFrame) -> DataFrame:
-    """Sessions that take time: under way or done, or scheduled while their plan is active."""
-    rows = sessions.join(plans, "owner_id")
-    return rows.where("status IN ('in_progress', 'completed') OR (status = 'scheduled' AND plan_status = 'active')").select("owner_id", "session_id", "status")
+    """Sessions that take time: under way or done, or scheduled while their own plan is active."""
+    rows = sessions.join(plans, ["owner_id", "plan_id"])
+    return rows.where("status IN ('in_progress', 'completed') OR (status = 'scheduled' AND plan_status = 'active')").select("owner_id", "plan_id", "session_id", "status")
 
 
 def horizon(materials: DataFrame, today: str = TODAY) -> DataFrame:
@@ -93,20 +87,6 @@ def goal_faults(goals: DataFrame) -> DataFrame:
     return goals.withColumn("fault", fault).where("fault IS NOT NULL").select("goal_id", "fault")
 
 
-def normal_answer(text: Column) -> Column:
-    """lower case, white space collapsed, punctuation around it removed."""
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"^[\p{P} ]+|[\p{P} ]+$", ""))
-
-
-def grade(answers: DataFrame) -> DataFrame:
-    """choices are right as an exact set, written answers if their normal form is an accepted one; without a selection nothing is right."""
-    as_set = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(c), F.array()), lambda x: x.isNotNull())))
-    forms = F.transform("correct", normal_answer)
-    written = F.exists(F.filter("selected", lambda x: x.isNotNull()), lambda x: F.array_contains(forms, normal_answer(x)) & (normal_answer(x) != ""))
-    right = F.when(F.size(as_set("selected")) == 0, F.lit(False)).when(F.col("type") == "fill_blank", written).otherwise(as_set("selected") == as_set("correct"))
-    return answers.select("attempt_id", "question_id", "row", "type", F.coalesce(right, F.lit(False)).alias("is_correct"))
-
-
 def _docs(s: SparkSession, d: str) -> DataFrame:
     return corpus.documents(s, d)
 
@@ -119,20 +99,24 @@ def _refresh(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d).select("document_id", F.lit(0).alias("page"), F.coalesce("content", F.lit("")).alias("content"))
-    layer = docs.withColumn("content", F.substring("content", 1, 300))
-    return merged_pages(layer, docs.select("document_id", "page", F.regexp_replace("content", "[ \t]+", " ").alias("recovered")))
+    """Two pages a document: some have no text layer, some no recovered text, some neither."""
+    docs = _docs(s, d).select("document_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page"), F.coalesce("content", F.lit("")).alias("content"))
+    n = F.col("document_id") + F.col("page")
+    layer = docs.where(n % 3 != 1).withColumn("content", F.substring(F.col("content"), 1, 300))
+    return merged_pages(layer, docs.where(n % 5 != 2).select("document_id", "page", F.when(n % 7 == 0, "").otherwise(F.regexp_replace("content", "[ \t]+", " ")).alias("recovered")))
 
 
 def _newest(s: SparkSession, d: str) -> DataFrame:
     answers = table(s, d, "lineitem").select(F.col("l_orderkey").alias("attempt_id"), F.pmod("l_partkey", F.lit(7)).alias("topic_id"), F.when(F.col("l_suppkey") % 5 != 0, (F.col("l_suppkey") % 5).cast("string")).alias("concept_plan_id"))
-    kept = newest_plan(answers.join(A.attempts(s, d), "attempt_id"))
+    kept = learning.newest_plan(answers.join(A.attempts(s, d), "attempt_id"))
     return kept.groupBy("student_id", "document_id", "topic_id").agg(F.max("concept_plan_id").alias("plan"), F.count(F.lit(1)).alias("answers"))
 
 
 def _busy(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders").select(F.col("o_custkey").alias("owner_id"), F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "O", "scheduled").when(F.col("o_orderstatus") == "F", "completed").otherwise("in_progress").alias("status"))
-    return busy(o, table(s, d, "customer").select(F.col("c_custkey").alias("owner_id"), F.when(F.col("c_acctbal") > 0, "active").otherwise("paused").alias("plan_status")))
+    """A customer's orders of one priority are the sessions of one plan; every third plan is active."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("owner_id"), F.substring("o_orderpriority", 1, 1).alias("plan_id"), F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "O", "scheduled").when(F.col("o_orderstatus") == "F", "completed").otherwise("in_progress").alias("status"))
+    plans = table(s, d, "customer").select(F.col("c_custkey").alias("owner_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
+    return busy(o, plans.select("owner_id", F.col("n").cast("string").alias("plan_id"), F.when((F.col("owner_id") + F.col("n")) % 3 == 0, "active").otherwise("paused").alias("plan_status")))
 
 
 def _materials(s: SparkSession, d: str) -> DataFrame:
@@ -145,14 +129,6 @@ def _goals(s: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderpriority") < "4", day).alias("deadline"), F.date_add(day, (F.pmod("o_custkey", F.lit(5)) - 2).cast("int")).alias("target_date"))
 
 
-def _graded(s: SparkSession, d: str) -> DataFrame:
-    choice = F.col("l_quantity") <= 25
-    li = table(s, d, "lineitem")
-    return grade(li.select(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("question_id"), F.col("l_partkey").alias("row"), F.when(choice, "mcq").otherwise("fill_blank").alias("type"),
-        F.when(choice, F.array("l_returnflag", "l_linestatus")).otherwise(F.array(F.concat(F.lit(' "'), F.col("l_returnflag"), F.lit('". ')))).alias("selected"),
-        F.when(choice, F.array("l_linestatus", F.lit("R"))).otherwise(F.array(F.lower("l_linestatus"), F.lit("R"))).alias("correct")))
-
-
 LEGACY = "web"
 DOCS_SQL, CHUNKS_SQL = corpus.DOCS_SQL, corpus.CHUNKS_SQL
 QUERIES = {
@@ -168,9 +144,7 @@ QUERIES = {
     "busy_sessions": _busy,
     "plan_horizon": lambda s, d: horizon(_materials(s, d)),
     "goal_faults": lambda s, d: goal_faults(_goals(s, d)),
-    "graded_answers": _graded,
 }
-NORMAL = r"trim(regexp_replace(trim(regexp_replace(lower({0}), '\s+', ' ', 'g'), ' '), '^[\p{{P}} ]+|[\p{{P}} ]+$', '', 'g'), ' ')"
 ORACLES = {
     "owner_chunk_ids": f"WITH {DOCS_SQL}, c AS ({CHUNKS_SQL.format('docs')}) SELECT owner_id, document_id, CASE WHEN owner_id = 'web' THEN vector_id ELSE owner_id || '_' || vector_id END AS vector_id FROM c",
     "kept_pages": f"WITH {DOCS_SQL}, p AS (SELECT owner_id, document_id, string_split(content, chr(10) || chr(10)) AS l FROM docs), e AS (SELECT owner_id, document_id, unnest(range(len(l))) AS page, unnest(l) AS content FROM p) SELECT owner_id, document_id, page, length(content) AS chars FROM e WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> ''",
@@ -179,17 +153,17 @@ ORACLES = {
     "ownership_backfill": "SELECT coalesce(CASE WHEN lang <> 'en' THEN source END, 'web') AS owner_id, coalesce(CASE WHEN n_chars > 100 THEN CAST(doc_id AS VARCHAR) END, source) AS document_id FROM documents",
     "vanished_documents": "SELECT source AS owner_id, doc_id AS document_id FROM documents WHERE coalesce(length(text), 0) <= 200",
     "unreferenced_objects": "SELECT source AS owner_id, source || '/' || doc_id AS object_path FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.lang = 'en' AND k.source = documents.source AND k.doc_id = documents.doc_id)",
-    "recovered_pages": "WITH p AS (SELECT doc_id AS document_id, substring(coalesce(text, ''), 1, 300) AS c, regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g') AS r FROM documents) SELECT document_id, 0 AS page, length(r) > length(c) AS replaced, sha256(CASE WHEN length(r) > length(c) THEN r ELSE c END) AS page_hash FROM p",
+    "recovered_pages": """WITH p AS (SELECT doc_id AS document_id, unnest([0, 1]) AS page, coalesce(text, '') AS t FROM documents), l AS (SELECT document_id, page, substring(t, 1, 300) AS c FROM p WHERE (document_id + page) % 3 <> 1),
+      r AS (SELECT document_id, page, CASE WHEN (document_id + page) % 7 = 0 THEN '' ELSE regexp_replace(t, '[ \\t]+', ' ', 'g') END AS r FROM p WHERE (document_id + page) % 5 <> 2),
+      j AS (SELECT document_id, page, c, coalesce(c, '') AS a, coalesce(r, '') AS b FROM l FULL OUTER JOIN r USING (document_id, page)) SELECT document_id, page, length(b) > length(a) AS replaced, sha256(CASE WHEN length(b) > length(a) THEN b ELSE a END) AS page_hash FROM j WHERE c IS NOT NULL OR length(b) > length(a)""",
     "majority_language": """WITH c AS (SELECT source AS owner_id, doc_id AS document_id, CASE WHEN n_chars > 100 THEN lang END AS lang FROM documents), v AS (SELECT owner_id, lang, row_number() OVER (PARTITION BY owner_id ORDER BY count(*) DESC, lang) AS rn FROM c WHERE lang IS NOT NULL GROUP BY 1, 2)
       SELECT c.* FROM c LEFT JOIN v ON v.owner_id = c.owner_id AND rn = 1 WHERE c.lang IS NULL OR c.lang = v.lang""",
     "newest_plan": f"""WITH {A.ATTEMPTS_SQL}, a AS (SELECT t.*, l_partkey % 7 AS topic_id, CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_suppkey % 5 AS VARCHAR) END AS plan FROM lineitem JOIN attempts t ON attempt_id = l_orderkey),
       n AS (SELECT student_id, document_id, topic_id, plan AS newest FROM (SELECT *, row_number() OVER (PARTITION BY student_id, document_id, topic_id ORDER BY submitted_at DESC, attempt_id DESC, plan DESC) AS rn FROM a WHERE plan IS NOT NULL) WHERE rn = 1)
       SELECT student_id, document_id, topic_id, max(plan) AS plan, count(*) AS answers FROM a LEFT JOIN n USING (student_id, document_id, topic_id) WHERE newest IS NULL OR plan = newest GROUP BY 1, 2, 3""",
-    "busy_sessions": "WITH s AS (SELECT o_custkey AS owner_id, o_orderkey AS session_id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'F' THEN 'completed' ELSE 'in_progress' END AS status FROM orders) SELECT s.* FROM s JOIN customer ON c_custkey = owner_id WHERE status <> 'scheduled' OR c_acctbal > 0",
+    "busy_sessions": "SELECT o_custkey AS owner_id, left(o_orderpriority, 1) AS plan_id, o_orderkey AS session_id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'F' THEN 'completed' ELSE 'in_progress' END AS status FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'O' OR (o_custkey + CAST(left(o_orderpriority, 1) AS INT)) % 3 = 0",
     "plan_horizon": f"""WITH g AS (SELECT o_custkey AS owner_id, max(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END) AS last, bool_or(o_orderstatus = 'P') AS open FROM orders GROUP BY 1)
       SELECT owner_id, CAST(least(CASE WHEN last IS NULL THEN DATE '{TODAY}' + 14 WHEN open THEN greatest(last - 1, DATE '{TODAY}', DATE '{TODAY}' + 14) ELSE greatest(last - 1, DATE '{TODAY}') END, DATE '{TODAY}' + 42) AS DATE) AS horizon_end FROM g""",
     "goal_faults": """WITH g AS (SELECT o_orderkey AS goal_id, CASE o_orderstatus WHEN 'O' THEN 'deadline' WHEN 'F' THEN 'flexible' END AS kind, CASE WHEN o_orderpriority < '4' THEN CAST(o_orderdate AS DATE) END AS deadline, CAST(o_orderdate AS DATE) + CAST(o_custkey % 5 - 2 AS INT) AS target FROM orders),
       f AS (SELECT goal_id, CASE WHEN kind = 'deadline' AND deadline IS NULL THEN 'deadline_missing' WHEN kind = 'flexible' AND deadline IS NOT NULL THEN 'deadline_not_allowed' WHEN target > deadline THEN 'target_after_deadline' END AS fault FROM g) SELECT * FROM f WHERE fault IS NOT NULL""",
-    "graded_answers": f"""SELECT l_orderkey AS attempt_id, l_linenumber AS question_id, l_partkey AS row, CASE WHEN l_quantity <= 25 THEN 'mcq' ELSE 'fill_blank' END AS type,
-      CASE WHEN l_quantity <= 25 THEN list_sort(list_distinct([l_returnflag, l_linestatus])) = list_sort(list_distinct([l_linestatus, 'R'])) ELSE {NORMAL.format("' \"' || l_returnflag || '\". '")} IN ({NORMAL.format('lower(l_linestatus)')}, 'r') END AS is_correct FROM lineitem""",
 }

@@ -123,12 +123,19 @@ def grounding(rows: DataFrame) -> DataFrame:
     return rows.where("role = 'assistant'").select("conv_id", "turn", status.alias("grounding_status"))
 
 
-def context(hits: DataFrame, texts: DataFrame) -> DataFrame:
-    """The context block and the numbered citations of each query: its hits in order of rank, a source of several hits cited once."""
-    rows = hits.join(texts, "vec_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "source", "content"))).alias("hits"))  # k hits at most
-    numbered = F.array_distinct(F.transform("hits", lambda h: h["source"]))
-    block = F.array_join(F.transform("hits", lambda h: F.concat(F.lit("["), F.array_position(numbered, h["source"]).cast("string"), F.lit("] "), h["content"])), "\n\n")
-    return rows.select("query_id", F.sha2(block, 256).alias("context_hash"), F.array_join(numbered, "; ").alias("citations"), F.size("hits").cast("long").alias("passages"))
+UNKNOWN_SOURCE, UNKNOWN_PAGE = "Unknown source", "Unknown page"
+
+
+def citations(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each query's hits in order of rank as numbered citations: title (the source's last part), page and content; with the hash of the context block made of all of them."""
+    rows = hits.join(texts, "vec_id")
+    source, page, content = F.coalesce("source", F.lit(UNKNOWN_SOURCE)), F.coalesce(F.col("page").cast("string"), F.lit(UNKNOWN_PAGE)), F.coalesce("content", F.lit(""))
+    rows = rows.select("query_id", F.struct("rank", "vec_id", source.alias("source"), page.alias("page"), content.alias("content")).alias("hit"))
+    rows = rows.groupBy("query_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # k hits at most
+    part = lambda h, i: F.concat(F.lit("[Document "), (i + 1).cast("string"), F.lit("]\nSource: "), h["source"], F.lit("\nPage: "), h["page"], F.lit("\nContent:\n"), h["content"])
+    rows = rows.select("query_id", F.sha2(F.array_join(F.transform("hits", part), "\n\n"), 256).alias("context_hash"), F.posexplode("hits").alias("at", "h"))
+    title = F.regexp_extract(F.regexp_replace("h.source", "/+$", ""), "[^/]*$", 0)
+    return rows.select("query_id", "context_hash", (F.col("at") + 1).cast("int").alias("source_id"), title.alias("title"), "h.page", "h.content")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -146,9 +153,10 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors stand for documents of their number: the text and its source."""
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.substring(F.coalesce("text", F.lit("")), 1, 800).alias("content"))
-    return context(_top_k(spark, d), texts)
+    """Vectors stand for documents of their number: the text, a source on a shelf, some without, and a page, some without."""
+    k = F.col("doc_id")
+    texts = table(spark, d, "documents").select(k.alias("vec_id"), F.when(k % 7 != 0, F.concat(F.lit("shelf/"), "source", F.lit(".pdf"))).alias("source"), F.when(k % 5 != 0, k % 5).alias("page"), F.substring("text", 1, 800).alias("content"))
+    return citations(_top_k(spark, d), texts)
 
 
 def collapsed_sql(text: str) -> str:
@@ -203,8 +211,8 @@ ORACLES = {
       SELECT conv_id, CASE WHEN coalesce(c, '') = '' THEN 'New conversation' WHEN length(c) > 60 THEN regexp_replace(regexp_replace(substring(c, 1, 60), ' [^ ]*$', ''), '[ ,.;:-]+$', '') || '…' ELSE c END AS title FROM (SELECT DISTINCT conv_id FROM messages) LEFT JOIN firsts USING (conv_id)""",
     "conversation_listing": f"WITH {MESSAGES_SQL} SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM messages GROUP BY 1",
     "grounding_status": f"""WITH {MESSAGES_SQL} SELECT conv_id, turn, CASE WHEN contains(lower(text), 'don''t know based on the provided documents') THEN 'insufficient_context' ELSE 'supported' END AS grounding_status FROM messages WHERE role = 'assistant'""",
-    "context_citations": f"""WITH hits AS ({top_k_sql("len(embedding) = 64", 4)}), j AS (SELECT query_id, rank, vec_id, source, substring(coalesce(text, ''), 1, 800) AS content FROM hits JOIN documents ON doc_id = vec_id),
-      f AS (SELECT query_id, source, min(rank) AS first FROM j GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM f)
-      SELECT query_id, sha256(string_agg('[' || number || '] ' || content, chr(10) || chr(10) ORDER BY rank)) AS context_hash, any_value(cited) AS citations, count(*) AS passages
-      FROM j JOIN c USING (query_id, source) JOIN (SELECT query_id, string_agg(source, '; ' ORDER BY number) AS cited FROM c GROUP BY 1) USING (query_id) GROUP BY 1""",
+    "context_citations": f"""WITH hits AS ({top_k_sql("len(embedding) = 64", 4)}), j AS (SELECT query_id, rank, CASE WHEN doc_id % 7 <> 0 THEN 'shelf/' || source || '.pdf' END AS s, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 5 AS VARCHAR) ELSE 'Unknown page' END AS page, substring(coalesce(text, ''), 1, 800) AS content FROM hits JOIN documents ON doc_id = vec_id),
+      n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS source_id FROM j),
+      b AS (SELECT query_id, sha256(string_agg('[Document ' || source_id || ']' || chr(10) || 'Source: ' || coalesce(s, 'Unknown source') || chr(10) || 'Page: ' || page || chr(10) || 'Content:' || chr(10) || content, chr(10) || chr(10) ORDER BY source_id)) AS context_hash FROM n GROUP BY 1)
+      SELECT query_id, context_hash, source_id, CASE WHEN s IS NULL THEN 'Unknown source' ELSE source || '' END AS title, page, content FROM (SELECT *, replace(s, 'shelf/', '') AS source FROM n) JOIN b USING (query_id)""",
 }
