@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.operators import assessment, corpus, evidence, grading, intervals, learning, metrics, planner, records, retrieval, scheduling, splitting, structure, topics, upkeep
+from lectern.operators import assessment, corpus, evidence, grading, intervals, learning, metrics, placement, planner, records, retrieval, scheduling, splitting, structure, topics, upkeep
 from lectern.streaming import activity
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, scheduling, records, grading, evidence, structure, splitting, topics, upkeep, activity):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, scheduling, placement, records, grading, evidence, structure, splitting, topics, upkeep, activity):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -473,15 +473,16 @@ STEPS_SQL = f"""m AS (SELECT o_custkey AS owner_id, o_orderpriority AS document_
   g AS (SELECT *, fresh AND CASE WHEN cards > 0 THEN k % 11 <> 0 ELSE NOT waiting END AS practises FROM f),
   r AS ({" UNION ALL ".join(f"SELECT {i} AS rule, owner_id, document_id, '{a}' AS activity, {reason} AS reason, {prep} AS preparation, '{kind}' AS kind, {mins} AS minutes, {'final_start' if kind == 'final' else f'least(greatest(coalesce({first}, today), today), latest)'} AS earliest, latest, {gap} AS gap_days, {art} AS artifact, deadline, today, horizon_end, percentage FROM g WHERE {when}" for i, (when, a, reason, prep, kind, mins, first, gap, art) in enumerate(_RULES))}),
   steps AS (SELECT * EXCLUDE (rule), CAST(row_number() OVER (PARTITION BY owner_id, document_id ORDER BY rule) - 1 AS INT) AS step_no FROM r)"""
-ORACLES = {
-    "study_steps": f"WITH {STEPS_SQL} SELECT {', '.join(STEP_COLUMNS)} FROM steps",
-    "combined_steps": f"""WITH {STEPS_SQL}, x AS (SELECT *, lead(step_no) OVER w AS nno, lead(activity) OVER w AS a2, lead(preparation) OVER w AS p2, lead(kind) OVER w AS k2, lead(minutes) OVER w AS m2, lead(earliest) OVER w AS e2, lead(latest) OVER w AS l2, lead(gap_days) OVER w AS g2, lead(artifact) OVER w AS r2,
+COMBINED_SQL = f"""{STEPS_SQL}, x AS (SELECT *, lead(step_no) OVER w AS nno, lead(activity) OVER w AS a2, lead(preparation) OVER w AS p2, lead(kind) OVER w AS k2, lead(minutes) OVER w AS m2, lead(earliest) OVER w AS e2, lead(latest) OVER w AS l2, lead(gap_days) OVER w AS g2, lead(artifact) OVER w AS r2,
     count(*) OVER (PARTITION BY owner_id, document_id) AS n FROM steps WINDOW w AS (PARTITION BY owner_id, document_id ORDER BY step_no)),
   t AS (SELECT *, replace(activity, '_retry', '') || '+' || replace(a2, '_retry', '') AS pair, coalesce(deadline - today <= 3, false) OR (n > 1 AND greatest(1, (CASE WHEN deadline IS NULL THEN least(horizon_end, today + 6) ELSE deadline - 1 END) - today + 1) / n < 1.5) AS tight FROM x),
   y AS (SELECT *, coalesce(pair IN ('summary+flashcards', 'summary+quiz', 'flashcards+quiz') AND kind NOT IN ('finish', 'final') AND k2 NOT IN ('finish', 'final') AND (g2 = 0 OR tight) AND NOT coalesce(preparation = 'create_flashcards' AND p2 = 'create_quiz', false) AND greatest(earliest, e2) <= least(latest, l2), false) AS fits FROM t),
   i AS (SELECT *, step_no - row_number() OVER (PARTITION BY owner_id, document_id, fits ORDER BY step_no) AS island FROM y),
   z AS (SELECT *, fits AND (row_number() OVER (PARTITION BY owner_id, document_id, fits, island ORDER BY step_no)) % 2 = 1 AS first FROM i),
-  q AS (SELECT *, coalesce(lag(first) OVER (PARTITION BY owner_id, document_id ORDER BY step_no), false) AS second, CASE WHEN percentage < 60 THEN 5 WHEN percentage >= 80 THEN -5 ELSE 0 END AS shift FROM z)
-  SELECT owner_id, document_id, step_no, CASE WHEN first THEN activity || '+' || a2 ELSE activity END AS activity, reason, CASE WHEN first THEN concat_ws('+', preparation, p2) ELSE coalesce(preparation, '') END AS preparation, kind,
-    CASE WHEN first THEN 35 + shift ELSE minutes END AS minutes, CASE WHEN first THEN greatest(earliest, e2) ELSE earliest END AS earliest, CASE WHEN first THEN least(latest, l2) ELSE latest END AS latest, gap_days, CASE WHEN first THEN coalesce(r2, artifact) ELSE artifact END AS artifact FROM q WHERE NOT second""",
+  q AS (SELECT *, coalesce(lag(first) OVER (PARTITION BY owner_id, document_id ORDER BY step_no), false) AS second, CASE WHEN percentage < 60 THEN 5 WHEN percentage >= 80 THEN -5 ELSE 0 END AS shift FROM z),
+  combined AS (SELECT owner_id, document_id, step_no, CASE WHEN first THEN activity || '+' || a2 ELSE activity END AS activity, reason, CASE WHEN first THEN concat_ws('+', preparation, p2) ELSE coalesce(preparation, '') END AS preparation, kind,
+    CASE WHEN first THEN 35 + shift ELSE minutes END AS minutes, CASE WHEN first THEN greatest(earliest, e2) ELSE earliest END AS earliest, CASE WHEN first THEN least(latest, l2) ELSE latest END AS latest, gap_days, CASE WHEN first THEN coalesce(r2, artifact) ELSE artifact END AS artifact FROM q WHERE NOT second)"""
+ORACLES = {
+    "study_steps": f"WITH {STEPS_SQL} SELECT {', '.join(STEP_COLUMNS)} FROM steps",
+    "combined_steps": f"WITH {COMBINED_SQL} SELECT * FROM combined",
 }
