@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.operators import assessment, candidates, corpus, evidence, grading, intervals, learning, metrics, placement, planner, records, retrieval, scheduling, splitting, structure, topics, upkeep, visuals
+from lectern.operators import assessment, candidates, corpus, evidence, grading, intervals, languages, learning, metrics, placement, planner, records, retrieval, scheduling, splitting, structure, topics, upkeep, visuals
 from lectern.streaming import activity
 
 QUERIES = {}
 ORACLES = {}
-for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, scheduling, placement, records, grading, candidates, evidence, visuals, structure, splitting, topics, upkeep, activity):
+for module in (learning, intervals, metrics, retrieval, corpus, assessment, planner, scheduling, placement, records, grading, candidates, languages, evidence, visuals, structure, splitting, topics, upkeep, activity):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

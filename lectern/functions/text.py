@@ -53,3 +53,12 @@ def answer_forms(lists: Column) -> Column:
         return pd.Series([None if rows is None else [[answer_form(x) for x in (() if row is None else row)] for row in rows] for rows in texts], dtype=object)
 
     return _udf(run, "array<array<string>>")(lists)
+
+
+def composed(text: Column) -> Column:
+    """Letters and their accents as one character each; a null text as empty."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t or ""))
+
+    return _udf(run, "string")(text)
