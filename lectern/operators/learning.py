@@ -64,6 +64,43 @@ def topic_mastery(answers: DataFrame, attempts: DataFrame) -> DataFrame:
         *TOPIC, "answered", "correct", "concepts", "quizzes", "capacity", F.col("required").cast("long").alias("required"), "coverage", "score", "sufficient", "level", "last_evidence_at")
 
 
+def recomputed_mastery(answers: DataFrame, attempts: DataFrame) -> DataFrame:
+    """mastery of every topic that a submitted attempt has touched; without any evidence left (practice alone) it is not assessed."""
+    done = attempts.where("submitted_at IS NOT NULL AND completed").select("attempt_id", "student_id", "document_id")
+    touched = answers.select("attempt_id", "topic_id").join(done, "attempt_id").select(*TOPIC).distinct()
+    rows = touched.join(topic_mastery(answers, attempts), TOPIC, "left")
+    numbers = ["answered", "correct", "concepts", "quizzes", "capacity", "required", "coverage", "score"]
+    return rows.na.fill(0, numbers).withColumn("sufficient", F.coalesce("sufficient", F.lit(False))).withColumn("level", F.coalesce("level", F.lit("Not assessed")))
+
+
+def named_mastery(mastery: DataFrame, answers: DataFrame, attempts: DataFrame) -> DataFrame:
+    """mastery with the topic's name as the newest answers give it, its id where none does. Of one attempt the first question counts; practice doesn't."""
+    named = answers.where(~F.col("concept_origin").eqNullSafe("flashcard") & (F.coalesce("topic_name", F.lit("")) != "")).join(attempts, "attempt_id")
+    newest = F.max(F.struct("submitted_at", (-F.col("question_id")).alias("early"), "attempt_id", "topic_name"))["topic_name"]
+    return mastery.join(named.groupBy(*TOPIC).agg(newest.alias("topic_name")), TOPIC, "left").withColumn("topic_name", F.coalesce("topic_name", F.col("topic_id").cast("string")))
+
+
+def regraded(answers: DataFrame, marks: DataFrame) -> DataFrame:
+    """answers after a learner's own marks (attempt_id, question_id, is_correct, at), of which the newest counts; then score and percentage of each attempt that was marked."""
+    last = marks.groupBy("attempt_id", "question_id").agg(F.max(F.struct("at", "is_correct"))["is_correct"].alias("mark"))
+    rows = answers.join(last.select("attempt_id").distinct(), "attempt_id", "left_semi").join(last, ["attempt_id", "question_id"], "left").withColumn("is_correct", F.coalesce("mark", "is_correct"))
+    counts = rows.groupBy("attempt_id").agg(F.sum(F.col("is_correct").cast("long")).alias("score"), F.count(F.lit(1)).alias("total"))
+    return counts.withColumn("percentage", two_places(100 * F.col("score") / F.col("total")))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    answers, attempts = A.evidence(spark, d), A.attempts(spark, d)
+    named = answers.withColumn("topic_name", F.when(F.col("attempt_id") % 3 != 0, F.concat(F.lit("Topic "), (F.col("attempt_id") % 5).cast("string"))))
+    rows = named_mastery(recomputed_mastery(answers, attempts), named, attempts.where("completed AND submitted_at IS NOT NULL"))
+    return rows.select(*TOPIC, "topic_name", "answered", "score", "level")
+
+
+def _regraded(spark: SparkSession, d: str) -> DataFrame:
+    """Marks by two suppliers' line items of a question: the one with the larger key is the newer."""
+    rows = A.answers(spark, d)
+    return regraded(rows, rows.where("tie1 % 4 = 0").select("attempt_id", "question_id", (F.col("concept_id") % 2 == 0).alias("is_correct"), F.struct("tie1", "concept_id").alias("at")))
+
+
 def _topic_mastery(spark: SparkSession, d: str) -> DataFrame:
     return topic_mastery(A.evidence(spark, d), A.attempts(spark, d))
 
@@ -201,6 +238,8 @@ LAST = "row_number() OVER (PARTITION BY {} ORDER BY submitted_at DESC, attempt_i
 
 QUERIES = {
     "topic_mastery": _topic_mastery,
+    "named_mastery": _named,
+    "regraded_attempts": _regraded,
     "attempt_scores": _scores,
     "latest_attempt_per_quiz": lambda s, d: latest_attempts(_scores(s, d)),
     "attempt_summary": lambda s, d: attempt_summary(_scores(s, d)),
@@ -216,6 +255,11 @@ QUERIES = {
     "learning_state_counts": lambda s, d: state_counts(learning_state(_scores(s, d))),
 }
 ORACLES = {
+    "named_mastery": f"""{BASE_SQL}, done AS (SELECT e.*, student_id, document_id, submitted_at FROM evidence e JOIN attempts t ON t.attempt_id = e.attempt_id WHERE completed AND submitted_at IS NOT NULL), ids AS (SELECT DISTINCT student_id, document_id, topic_id FROM done),
+      nm AS (SELECT student_id, document_id, topic_id, 'Topic ' || (attempt_id % 5) AS topic_name FROM done WHERE attempt_id % 3 <> 0 AND concept_origin IS DISTINCT FROM 'flashcard' QUALIFY row_number() OVER (PARTITION BY student_id, document_id, topic_id ORDER BY submitted_at DESC, question_id, attempt_id DESC) = 1)
+      SELECT student_id, document_id, topic_id, coalesce(topic_name, CAST(topic_id AS VARCHAR)) AS topic_name, coalesce(answered, 0) AS answered, coalesce(score, 0.0) AS score, coalesce(level, 'Not assessed') AS level FROM ids LEFT JOIN mastery USING (student_id, document_id, topic_id) LEFT JOIN nm USING (student_id, document_id, topic_id)""",
+    "regraded_attempts": f"""WITH {A.ANSWERS_SQL}, m AS (SELECT attempt_id, question_id, concept_id % 2 = 0 AS mark FROM answers WHERE tie1 % 4 = 0 QUALIFY row_number() OVER (PARTITION BY attempt_id, question_id ORDER BY tie1 DESC, concept_id DESC) = 1),
+      r AS (SELECT a.attempt_id, CAST(coalesce(mark, is_correct) AS INT) AS ok FROM answers a LEFT JOIN m USING (attempt_id, question_id) WHERE a.attempt_id IN (SELECT attempt_id FROM m)) SELECT attempt_id, CAST(sum(ok) AS BIGINT) AS score, count(*) AS total, floor(100 * sum(ok) / CAST(count(*) AS DOUBLE) * 100 + 0.5) / 100 AS percentage FROM r GROUP BY 1""",
     "topic_mastery": f"{BASE_SQL} SELECT * FROM mastery",
     "attempt_scores": f"{SCORED_SQL} SELECT * FROM scores",
     "latest_attempt_per_quiz": f"{SCORED_SQL} SELECT * EXCLUDE (rn) FROM (SELECT *, {LAST.format('student_id, quiz_id')} FROM scores) WHERE rn = 1",

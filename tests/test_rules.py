@@ -94,3 +94,40 @@ def test_answer_form(text, form):
     from lectern.functions.text import answer_form
 
     assert answer_form(text) == form
+
+
+def test_quiz_documents_round_trip(spark):
+    from lectern.operators import quizdocs
+
+    q = lambda i, text, options, answer, kind=None: (i, text, options, answer, None, kind, None, None, None, None, None)
+    rows = [("a", "d", "easy", "", None, [q(5, "one", ["x", "y"], "b"), q(None, "two", None, " Text ", "fill_blank"), q(9, None, [str(k) for k in range(6)], None)]), ("b", "d", "easy", "T", "t", []), ("c", "d", "easy", "T", "t", None)]
+    df = spark.createDataFrame(rows, f"quiz_id string, document_id string, difficulty string, title string, topic_id string, questions array<{quizdocs.QUESTION}>")
+    tables = quizdocs.shred(df)
+    assert sorted((r.quiz_id, r.question_count) for r in tables[0].collect()) == [("a", 3), ("b", 0), ("c", 0)]
+    once = quizdocs.assemble(*tables)
+    twice = quizdocs.assemble(*quizdocs.shred(once))
+    assert sorted(once.collect(), key=lambda r: r.quiz_id) == sorted(twice.collect(), key=lambda r: r.quiz_id)
+    a = once.where("quiz_id = 'a'").first()
+    assert [(x.id, x.question, x.options, x.correct_answer, x.topic_id, x.difficulty) for x in a.questions] == [(5, "one", ["x", "y"], "B", "document", "easy"), (2, "two", [], "Text", "document", "easy"), (9, "", ["0", "1", "2", "3"], "", "document", "easy")]
+    assert a.title == "d" and once.where("quiz_id = 'c'").first().questions == []
+
+
+def test_import_of_old_files_once(spark):
+    from lectern.operators import quizdocs
+
+    content = '{"x::y::hard": {"questions": [{"id": 1}], "quiz_id": "k"}, "doc": {"easy": {"questions": []}, "medium": {"no": 1}, "difficult": {"questions": [{}], "difficulty": "z"}}, "n": 3, "plain": {"questions": [], "difficulty": "own"}}'
+    files = spark.createDataFrame([("o", content), ("p", None), ("q", "not json"), ("o2", '{"again": {"quiz_id": "k", "questions": []}}')], "owner_id string, content string")
+    none = spark.createDataFrame([], "quiz_id string")
+    first = quizdocs.to_import(files, none)
+    assert sorted((r.document_id, r.difficulty) for r in first.collect()) == [("doc", "difficult"), ("doc", "easy"), ("plain", "own"), ("x::y", "hard")]
+    assert quizdocs.to_import(files, first).collect() == []
+
+
+def test_regrade_and_topics_without_evidence(spark):
+    answers = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, False)], "attempt_id int, question_id int, is_correct boolean")
+    marks = spark.createDataFrame([(1, 2, False, 1), (1, 2, True, 2), (1, 9, True, 3)], "attempt_id int, question_id int, is_correct boolean, at int")
+    assert [(r.attempt_id, r.score, r.total, r.percentage) for r in learning.regraded(answers, marks).collect()] == [(1, 2, 2, 100.0)]
+    row = (1, 1, 1, True, "easy", "accepted", "c", 0, "flashcard", None)
+    attempts = spark.createDataFrame([(1, 7, "d", "q", datetime(2026, 1, 1), True)], ATTEMPT)
+    r = learning.recomputed_mastery(spark.createDataFrame([row], ANSWER), attempts).first()
+    assert (r.level, r.answered, r.sufficient) == ("Not assessed", 0, False)
