@@ -50,6 +50,13 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
     return rows.select("owner_id", "document_id", F.concat_ws("_", "file_hash", F.col("chunk_index").cast("string")).alias("vector_id"), F.col("chunk_index").cast("long").alias("chunk_index"), (F.col("chunk_index") * step).cast("long").alias("start_index"), text.alias("content"))
 
 
+def chunk_ids(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The ids of the chunks that `fixed_chunks` makes, without cutting any text."""
+    n = F.greatest(F.ceil((F.length("content") - overlap) / (size - overlap)), F.lit(1)).cast("int")
+    rows = docs.select("owner_id", "document_id", F.sha2("content", 256).alias("file_hash"), n.alias("n"))
+    return rows.select("owner_id", "document_id", "file_hash", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("owner_id", "document_id", F.concat_ws("_", "file_hash", F.col("k").cast("string")).alias("vector_id"))
+
+
 def stale_chunks(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Stored chunk ids that a document no longer has."""
     return stored.join(current, ["owner_id", "document_id", "vector_id"], "left_anti")
@@ -84,9 +91,9 @@ def _status(spark: SparkSession, d: str) -> DataFrame:
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    stored = fixed_chunks(docs).select("owner_id", "document_id", "vector_id")
+    stored = chunk_ids(docs)
     shorter = docs.withColumn("content", F.when(F.col("document_id") % 4 == 0, F.substring("content", 1, 1000)).otherwise(F.col("content")))
-    return stale_chunks(stored, fixed_chunks(shorter).select("owner_id", "document_id", "vector_id"))
+    return stale_chunks(stored, chunk_ids(shorter))
 
 
 VISIBLE = "length(translate(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12), ''))"

@@ -226,8 +226,8 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
-    documents = A.attempts(spark, d).select("document_id").distinct()
-    return documents.join(A.answers(spark, d).select("topic_id").distinct(), how="cross")  # the catalogue of topics: 7 for each of 5 documents
+    """The catalogue of topics: the remainders that `answers` makes its topics of, for each document."""
+    return A.attempts(spark, d).select("document_id").distinct().select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("topic_id"))
 
 
 SCORES_SQL = """counts AS (SELECT attempt_id, CAST(sum(CAST(is_correct AS INT)) AS BIGINT) AS score, count(*) AS total FROM answers GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.staging import cut
 from lectern.operators import intervals
 from lectern.sources.tables import table
 
@@ -62,8 +63,7 @@ def lineage(rows: DataFrame) -> DataFrame:
     for _ in range(rows.count().bit_length() + 1):
         jump = current.select(F.col("session_id").alias("origin"), F.col("origin").alias("next"))
         current = current.join(jump, "origin", "left").select("session_id", F.coalesce("next", "origin").alias("origin"), (F.col("next") != F.col("origin")).alias("moved"))
-        if current.sparkSession.sparkContext.getCheckpointDir():
-            current = current.checkpoint()
+        current = cut(current)
         moved = not current.where("moved").isEmpty()
         current = current.select("session_id", "origin")
         if not moved:

@@ -16,6 +16,10 @@ REFUSAL = "don't know based on the provided documents"
 EXPLAIN = "Explain more about this quiz question"
 
 
+#: Queries that are broadcast at most (64 numbers each: 16 MB), and the parts of a scope beyond that.
+BROADCAST_QUERIES, SALTS = 50_000, 32
+
+
 def scope(filters: dict) -> Column:
     """A metadata filter as a column: {"$and": [...]}, {col: value}, {col: {"$eq": v}}, {col: {"$in": [...]}}; an empty $in is false, other operators are refused."""
 
@@ -41,11 +45,17 @@ def unit(vector: str) -> Column:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, dimension: int = 64) -> DataFrame:
     """The k nearest vectors by cosine distance in each query's scope, ties by id; other dimensions are left out.
 
-    Norms are computed once for each vector; the join is on the scope, and only distances go through the ranking."""
+    Norms are computed once for each vector. Few queries (their number is checked) are broadcast, so that vectors stay where they
+    are read; more meet them by scope and a salt, so that a scope of many vectors is split. Only distances are ranked, k of each
+    task leaving it."""
     q = queries.where(F.size("embedding") == dimension).select(F.col("vec_id").alias("query_id"), F.col("scope"), F.col("embedding").alias("q"), unit("embedding").alias("qn"))
     c = corpus.where(F.size("embedding") == dimension).select(F.col("vec_id"), F.col("scope"), F.col("embedding").alias("c"), unit("embedding").alias("cn"))
     dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    near = q.join(c, "scope").where("query_id <> vec_id").select("query_id", "vec_id", F.round(1 - dot / (F.col("qn") * F.col("cn")), 6).alias("distance"))
+    if q.count() <= BROADCAST_QUERIES:
+        pairs = c.join(F.broadcast(q), "scope")
+    else:
+        pairs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(c.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")), ["scope", "salt"])
+    near = pairs.where("query_id <> vec_id").select("query_id", "vec_id", F.round(1 - dot / (F.col("qn") * F.col("cn")), 6).alias("distance"))
     order = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
