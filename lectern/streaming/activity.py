@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,13 +26,29 @@ def refresh_mastery(answers: DataFrame, attempts: DataFrame, topics: DataFrame)
     return learning.topic_mastery(rows.drop("student_id", "document_id"), attempts)
 
 
+#: Parts of a stream's history by key, so that a micro-batch reads what it touches.
+BUCKETS = 64
+
+
+def bucket(*keys: str) -> F.Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def touched_history(spark: SparkSession, history: str, rows: DataFrame, number: int) -> DataFrame:
+    """The history up to a batch, of the buckets that `rows` fall into alone: other parts are pruned from the scan."""
+    buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+    return spark.read.parquet(history).where(F.col("batch") <= number).where(F.col("bucket").isin(buckets)).drop("batch", "bucket")
+
+
 def mastery_stream(spark: SparkSession, new_answers: DataFrame, history: str, attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is appended to the history; its topics are computed anew and written under the batch's number, so a repeated batch overwrites itself."""
+    """Each micro-batch is appended to the history, in buckets of its topics; these are computed anew from their buckets and written under the batch's number, so a repeated batch overwrites itself."""
 
     def batch(frame: DataFrame, number: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        whole = spark.read.parquet(history).where(F.col("batch") <= number).drop("batch").distinct()
-        refresh_mastery(whole, attempts, touched(spark.read.parquet(f"{history}/batch={number}"), attempts)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        keyed = frame.join(attempts.select("attempt_id", "student_id", "document_id"), "attempt_id").withColumn("bucket", bucket(*KEYS)).drop("student_id", "document_id")
+        keyed.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={number}")
+        new = spark.read.parquet(f"{history}/batch={number}")
+        whole = touched_history(spark, history, new, number).distinct()
+        refresh_mastery(whole, attempts, touched(new, attempts)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return new_answers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,6 +64,29 @@ def messages_once(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["message_id"])
 
 
+def exchange_stream(spark: SparkSession, exchanges: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Exchanges (exchange_id, conv_id, ts, question, answer, citations: array of texts) kept once each, however late they repeat: the first by time of a micro-batch, if no earlier one holds its id. A batch that is repeated overwrites itself."""
+
+    def batch(frame: DataFrame, number: int) -> None:
+        rest = [c for c in frame.columns if c != "exchange_id"]
+        first = frame.groupBy("exchange_id").agg(F.min(F.struct("ts", *(c for c in rest if c != "ts"))).alias("x")).select("exchange_id", "x.*").withColumn("bucket", bucket("exchange_id"))
+        if number:
+            known = touched_history(spark, out, first, number - 1).select("exchange_id")
+            first = first.join(known, "exchange_id", "left_anti")
+        first.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
+
+    return exchanges.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def exchange_messages(kept: DataFrame) -> DataFrame:
+    """The kept exchanges as numbered messages of their conversation, question before answer, in order of time; the answer with its citations."""
+    order = W.partitionBy("conv_id").orderBy("ts", "exchange_id")
+    rows = kept.withColumn("n", F.row_number().over(order) - 1)
+    none = F.array().cast("array<string>")
+    sides = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("text"), none.alias("citations")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text"), F.coalesce("citations", none).alias("citations")))
+    return rows.select("conv_id", "exchange_id", "n", F.posexplode(sides).alias("side", "m")).select("conv_id", (F.col("n") * 2 + F.col("side")).alias("turn"), "exchange_id", "m.role", "m.text", "m.citations")
+
+
 # The moves of a session; anything else is refused.
 MOVES = {("scheduled", "start"): "in_progress", ("in_progress", "complete"): "completed", ("scheduled", "skip"): "skipped", ("in_progress", "skip"): "skipped"}
 OUTPUT = "session_id long, action string, state string, outcome string"

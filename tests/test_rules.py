@@ -131,3 +131,9 @@ def test_regrade_and_topics_without_evidence(spark):
     attempts = spark.createDataFrame([(1, 7, "d", "q", datetime(2026, 1, 1), True)], ATTEMPT)
     r = learning.recomputed_mastery(spark.createDataFrame([row], ANSWER), attempts).first()
     assert (r.level, r.answered, r.sufficient) == ("Not assessed", 0, False)
+
+
+def test_nearest_vectors_with_salted_scopes(spark, data, monkeypatch):
+    few = retrieval._top_k(spark, data).collect()
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
+    assert sorted(few) == sorted(retrieval._top_k(spark, data).collect()) and few
