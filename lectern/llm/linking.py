@@ -7,7 +7,8 @@ Rows that could be linked share a key. Pairs are verified in rounds:
   taken at random from the first pivot's component, against members outside it.
 - Members that are by then in one component need no more pairs, and no pair is verified twice. The last round covers what
   is left of a key: members of different components meet under a condition on their sketches (`close`), which the join
-  itself evaluates, so that only pairs that are near enough leave it. No link between two components is lost.
+  itself evaluates, so that only pairs that are near enough leave it. Where the keys of a row have an order (`order`), a pair
+  that shares one of the two keys before leaves there, and not again. No link between two components is lost.
 
 Components are the smallest id reachable, by hooking whole trees to the smallest label next to them and pointer jumping, each step a
 written table, until nothing changes.
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch
 
+#: Columns for the keys of an id before the present one.
+EARLIER = ("before1", "before2")
 Verify = Callable[[DataFrame], DataFrame]
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -47,13 +50,14 @@ def components(edges: DataFrame) -> DataFrame:
         scratch.drop_all_but(both, after)
 
 
-def connect(postings: DataFrame, verify: Verify, fits: Fits, sketches: DataFrame | None = None, close: Fits | None = None, star_rounds: int = 2, links: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+def connect(postings: DataFrame, verify: Verify, fits: Fits, sketches: DataFrame | None = None, close: Fits | None = None, star_rounds: int = 2, links: DataFrame | None = None, scratch: Scratch | None = None, order: str | None = None) -> DataFrame:
     """id, component of every id that has a link; `postings` has key, id, rank and what `fits` reads. It is a written table, best
     without the keys of one row alone.
 
     verify(pairs with a, b) returns those that are links; fits(left, right) is a cheap condition on two rows of one key, and
-    close(left, right) one on two rows of `sketches` (id and what it reads). `links` (a, b) are known already. The result is
-    staged in `scratch`."""
+    close(left, right) one on two rows of `sketches` (id and what it reads). `order` names a column that orders the keys of an id;
+    what `fits` says of the first key that two rows share then holds for the pair. `links` (a, b) are known already. The result
+    is staged in `scratch`."""
     outer, scratch = scratch, Scratch(postings.sparkSession)
     extra = [c for c in postings.columns if c != "key"]
     first = postings.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
@@ -84,12 +88,18 @@ def connect(postings: DataFrame, verify: Verify, fits: Fits, sketches: DataFrame
             pairs = rows.join(pivots, "key").where("component <> l_component").where(fits(left, right))
         else:
             rows, seen = with_comp.select("key", "component", *extra), extra
+            if order is not None:
+                own = Window.partitionBy("id").orderBy(order, "key")
+                rows, seen = rows.select("*", *(F.lag("key", k).over(own).alias(c) for k, c in enumerate(EARLIER, 1))), [*seen, *EARLIER]
             if sketches is not None:
                 rows = rows.join(sketches, "id")
                 seen = [c for c in rows.columns if c not in ("key", "component")]
             rows = scratch.stage(rows, "rows_left")
             side = lambda to: rows.select("key", *(F.col(c).alias(f"{to}_{c}") for c in ("component", *seen)))
             near = fits(left, right) if close is None else fits(left, right) & close(left, right)
+            if order is not None:
+                for a, b in ((a, b) for a in EARLIER for b in EARLIER):
+                    near = near & ~F.coalesce(left(a) == right(b), F.lit(False))
             pairs = side("l").join(side("r"), "key").where((F.col("l_component") != F.col("r_component")) & (F.col("l_id") < F.col("r_id")) & near)
         if turn == 0:
             shared = pairs.groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("n"))
