@@ -62,3 +62,26 @@ def composed(text: Column) -> Column:
         return texts.map(lambda t: unicodedata.normalize("NFC", t or ""))
 
     return _udf(run, "string")(text)
+
+
+# Words that say nothing of a question's subject.
+STOPWORDS = frozenset(
+    "the and for with from that this which what when where does are is was were into than then its "
+    "their one option answer following about between during using used use can will not has have had "
+    "how why who whom whose each any all also only most more some such according document statement "
+    "describes described primary main purpose best correct true false identify select choose "
+    "because therefore however instead whereas rather their there these those every other another should would could".split()
+)
+
+
+def content_words(text: Column, least: int) -> Column:
+    """The distinct words of at least `least` characters that are no stopwords, as (word, key): in normal form, and squashed."""
+    word = re.compile(rf"\w{{{least},}}")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [sorted({w for w in word.findall(unicodedata.normalize("NFKC", t or "").casefold()) if w not in STOPWORDS}) for t in texts]
+        return pd.DataFrame({"words": rows, "keys": [[squashed(w) for w in row] for row in rows]})
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    both = F.pandas_udf(run, "words array<string>, keys array<string>")(text)
+    return F.arrays_zip(both["words"].alias("word"), both["keys"].alias("key"))
