@@ -427,6 +427,44 @@ def test_line_dedup_finds_all_similar_lines(spark):
     assert {r.doc_id: first[r.line_group] for r in got} == {i: find(i) for i in range(len(lines)) if sizes[find(i)] > 1}
 
 
+def test_line_dedup_keys_of_common_words_do_not_multiply(spark, monkeypatch):
+    """Lines of common words alone: what they share by chance gives few keys a line, and the similar ones are still found."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(150)]
+    lines = [[rng.choice(common) for _ in range(40)] for _ in range(6000)]
+    for i in range(0, 200, 2):
+        lines[i + 1] = [w if rng.random() > 0.1 else "new" for w in lines[i]]
+    seen, plain = [], line_dedup.candidates
+
+    def counted(keys, *args):
+        seen.append(keys.count())
+        return plain(keys, *args)
+
+    monkeypatch.setattr(line_dedup, "candidates", counted)
+    got = line_dedup.grouped_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")).collect()
+    want = {i for i in range(200) if sum(a != b for a, b in zip(lines[i - i % 2], lines[i - i % 2 + 1])) <= 8}
+    assert {r.doc_id for r in got} == want and seen[0] < 3 * len(lines)
+
+
+def test_line_dedup_keys_of_all_lengths_meet(spark):
+    """Each line of 4 to 64 words, with as many edits as its length allows, shares a key with the line it was made from."""
+    rng = random.Random(6)
+    order = np.ones(line_dedup.ORDER_BUCKETS, np.uint8)
+    for n in range(4, 65):
+        for _ in range(30):
+            line = [rng.randrange(1, 9 if n % 2 else 10**6) for _ in range(n)]
+            longest = int(n / 0.8)
+            kind = rng.choice(("insert", "replace", "delete"))
+            other = list(line)
+            for _ in range(longest // 5 if kind == "insert" else n // 5):
+                at = rng.randrange(len(other))
+                other[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.randrange(10**6, 10**9)]
+            if max(len(line), len(other)) * 0.2 + 1e-9 < (longest // 5 if kind == "insert" else n // 5):
+                continue
+            keys, own = line_dedup.runs_of(np.array(line + other, np.uint32), np.array([n, len(other)]), order)
+            assert line == other or set(keys[own == 0]) & set(keys[own == 1]), (line, other)
+
+
 def test_decontamination_of_names_at_sentence_starts_numbers_and_few_literals(spark):
     items = [
         (1, "Anna has 3 apples. Tom has 5 apples. How many apples do they have in total?"),
