@@ -81,8 +81,12 @@ def encode(text: str, path: str) -> bytes:
     words = raw.lower().split()
     if b"<|" in raw:  # the tokenizer finds its special tokens before it lowers anything
         words = [w if b"<|" in w else w.lower() for w in raw.split()]
+    ids = [*map(encoder.known.get, words)]
     try:
-        return b"".join(map(encoder.known.__getitem__, words))
-    except KeyError:
-        encoder.learn(set(words))
-        return b"".join(map(encoder.known.__getitem__, words))
+        return b"".join(ids)
+    except TypeError:  # a word isn't in the cache; the others aren't looked up again
+        missing = [k for k, v in enumerate(ids) if v is None]
+        encoder.learn({words[k] for k in missing})
+        for k in missing:
+            ids[k] = encoder.known[words[k]]
+        return b"".join(ids)

@@ -427,6 +427,21 @@ def test_line_dedup_finds_all_similar_lines(spark):
     assert {r.doc_id: first[r.line_group] for r in got} == {i: find(i) for i in range(len(lines)) if sizes[find(i)] > 1}
 
 
+def test_cached_words_of_a_text_are_not_learned_again(monkeypatch):
+    """Only a text's unknown words go through the cache's slow path, also when the cache turns over between two texts."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    tok, learn, asked = Tokenizer.from_file(path), tokens.WordEncoder.learn, []
+    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    monkeypatch.setattr(tokens.WordEncoder, "learn", lambda self, words: (asked.append(set(words)), learn(self, words))[1])
+    texts = ["one two three", "one two four", *(" ".join(f"w{(7 * k + j) % 90}q{j}." for j in range(25)) for k in range(20)), "one, w1q1. two"]
+    for t in texts:
+        assert np.frombuffer(tokens.encode(t, path), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert asked[:2] == [{b"one", b"two", b"three"}, {b"four"}]
+
+
 def test_line_dedup_keys_of_common_words_do_not_multiply(spark, monkeypatch):
     """Lines of common words alone: what they share by chance gives few keys a line, and the similar ones are still found."""
     rng = random.Random(5)
