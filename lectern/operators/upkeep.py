@@ -49,11 +49,21 @@ def template_elements(pages: DataFrame, least: int = 3, share: float = 0.5) -> D
 
 
 def trim_overlap(chunks: DataFrame, least: int = 30, most: int = 300) -> DataFrame:
-    """How many characters of a chunk's start repeat the end of the one before; the longest such piece."""
+    """How many characters of a chunk's start repeat the end of the one before; the longest such piece.
+
+    Only the ends of chunks move. Where the first `least` characters are first found in the end before, the longest piece may begin;
+    lengths are tried one by one only if it doesn't.
+    """
     order = W.partitionBy("document_id").orderBy("chunk_index")
-    rows = chunks.withColumn("before", F.lag("content").over(order))
-    sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (n <= F.length("content")) & (n <= F.length("before")) & (F.right("before", n) == F.left("content", n)))
-    return rows.select("document_id", "chunk_index", F.coalesce(F.when(F.col("before").isNull(), F.lit(0)).otherwise(F.array_max(sizes)), F.lit(0)).cast("long").alias("overlap"))
+    ends = chunks.select("document_id", "chunk_index", F.left("content", F.lit(most)).alias("head"), F.right("content", F.lit(most)).alias("tail"))
+    rows = ends.withColumn("before", F.lag("tail").over(order)).drop("tail")
+    rows = rows.withColumn("at", F.when(F.length("head") >= least, F.position(F.left("head", F.lit(least)), F.col("before"))))
+    rows = rows.withColumn("n", F.length("before") - F.col("at") + 1)
+    same = lambda n: F.right("before", n) == F.left("head", n)
+    # From the start at `at` on, the piece can't be longer than the chunk.
+    sizes = F.filter(F.sequence(F.lit(least), F.least("n", F.length("head"))), same)
+    longest = F.when(F.col("at") == 0, 0).when((F.col("n") <= F.length("head")) & same(F.col("n")), F.col("n")).otherwise(F.array_max(sizes))
+    return rows.select("document_id", "chunk_index", F.coalesce(F.when(F.col("at").isNotNull(), longest), F.lit(0)).cast("long").alias("overlap"))
 
 
 def batches(items: DataFrame, count_cap: int, size_cap: int) -> DataFrame:
