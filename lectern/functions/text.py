@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 NO_LETTER = re.compile(r"[\W_]+")
 
 
+#: What squashing does to the bytes of plain text: capitals become small, all but letters and digits go.
+SMALL = bytes(range(256)).lower()
+NO_LETTERS = bytes(k for k in range(128) if not chr(k).isalnum())
+
+
 def squashed(text: str | None) -> str:
     """Letters and digits alone, compatible forms and cases made one, accents dropped."""
+    if text and text.isascii():
+        return text.encode().translate(SMALL, NO_LETTERS).decode()
     return NO_LETTER.sub("", unicodedata.normalize("NFKD", text or "").casefold().replace("đ", "d"))
 
 
@@ -24,14 +31,6 @@ def squash(text: Column) -> Column:
     return _udf(run, "string")(text)
 
 
-def shingled(text: Column, size: int) -> Column:
-    """The distinct substrings of `size` characters of a squashed text."""
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({t[k : k + size] for k in range(len(t) - size + 1)}) for t in texts], dtype=object)
-
-    return _udf(run, "array<string>")(text)
-
-
 def _udf(run, kind: str):
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # real types: Spark doesn't resolve names of a closure
     return F.pandas_udf(run, kind)

@@ -2,7 +2,7 @@
 
 import random
 
-from lectern.operators import upkeep
+from lectern.operators import evidence, upkeep
 
 
 def shuffled(spark, df):
@@ -40,3 +40,28 @@ def test_overlap_moves_the_ends_of_chunks_alone(spark):
     df = spark.createDataFrame(rows, "document_id long, chunk_index long, content string").cache()
     _, moved = shuffled(spark, lambda: upkeep.trim_overlap(df))
     assert moved < 0.3 * sum(len(t.encode()) for *_, t in rows)
+
+
+def test_located_quotes_move_no_shingles(spark):
+    rng = random.Random(5)
+    texts = {d: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKL", k=6000)) for d in range(30)}
+    units = [(d, f"{d}-{k}", k, t[600 * k : 600 * k + 600]) for d, t in texts.items() for k in range(10)]
+    quotes = [(d, k, t[at : at + 90]) for d, t in texts.items() for k, at in enumerate((40, 560, 3000))]
+    units, quotes = spark.createDataFrame(units, "document_id long, unit_id string, place int, text string").cache(), spark.createDataFrame(quotes, "document_id long, quote_id int, quote string").cache()
+    rows, moved = shuffled(spark, lambda: evidence.locate(quotes, units))
+    assert len(rows) == 30 * 4 and moved < 4 * sum(map(len, texts.values()))
+
+
+def test_runs_of_an_alignment_equal_those_of_difflib():
+    import difflib
+
+    rng = random.Random(6)
+    for n in range(1500):
+        text = "".join(rng.choices("ab" if n % 2 else "abcdefgh", k=rng.randrange(5, 200)))
+        at = rng.randrange(len(text))
+        quote = text[at : at + rng.randrange(20, 120)]
+        for _ in range(rng.choice([1, 2, 4])):
+            p = rng.randrange(len(quote) + 1)
+            quote = quote[:p] + rng.choice(["xq", "", "a"]) + quote[p + rng.randrange(3) :]
+        blocks = difflib.SequenceMatcher(None, text, quote, autojunk=False).get_matching_blocks()
+        assert list(evidence.runs_of(text, quote, 0, len(text), 0, len(quote))) == [(b.a, b.size) for b in blocks if b.size >= evidence.RUN_CHARS]
