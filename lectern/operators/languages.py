@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.staging import cut
 from lectern.functions.text import composed
 from lectern.operators import corpus
 from lectern.sources.tables import table
@@ -22,6 +23,13 @@ LABELS, LABEL_WIN, PAIRS, PAIR_WIN = 2, 2 / 3, 3, 0.6
 FIELD_WORDS, TEXT_WORDS, WORDS_SECOND, WORDS_FIRST, TEXT_SECOND, STRAY_WORDS = 4, 6, 0.3, 0.1, 0.2, 1
 BULLETS = " \t○●•▪◦■□◆◇▶►➢✓✔-"
 LETTER_RUN = r"[\p{L}\p{Nl}\p{No}]{2,}"
+#: Texts of which WORD_OR_NOT knows all letters, and what else may be in one; the first is the quicker test.
+LATIN, UNCOMMON = r"\A[\x00-ž]*+\z", r"[^\x00-žƠơƯừ-ͯẠ-ỹ -⁯←-⇿■-◿]"
+#: Their letters, those of most texts first; letters without case.
+LETTERS, CASELESS = "ß-öø-žÀ-ÖØ-Þª²³µ¹º¼½¾ƠơƯưẠ-ỹ", "[ªº²³¹¼½¾ĸ]"
+LETTER = f"[a-z[A-Z{LETTERS}]]"
+#: Words in small letters and what is between words first; then letters alone, names, and other words that count.
+WORD_OR_NOT = rf"([a-zß-öø-ÿ]{{2,}}+(?!{LETTER}))|[^a-zA-Z{LETTERS}]++|{LETTER}(?!{LETTER})|(?={LETTER}{{2,{IDENTIFIER_CHARS}}}+(?!{LETTER})){LETTER}+?\p{{Lu}}{LETTER}*+|\p{{Lu}}{CASELESS}{{1,{IDENTIFIER_CHARS - 1}}}+(?!{LETTER})|({LETTER}++)"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -29,36 +37,56 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({LETTER_RUN})"), F.lit(1))
 
 
-def text_language(text: Column, least: int = SEGMENT_LETTERS) -> Column:
-    """One of the two languages, or null where there are too few letters or both kinds. Short words in capitals, or with one inside, are names."""
+def kept_letters(text: Column) -> Column:
+    """The letters of the words of two letters or more that are no names. Short words in capitals, or with one inside, are names.
+
+    One regular expression finds what goes in texts of common letters; texts with any other are taken apart word by word.
+    """
     name = lambda t: (F.length(t) <= IDENTIFIER_CHARS) & (((F.upper(t) == t) & (F.lower(t) != t)) | F.substring(t, 2, 100).rlike(r"\p{Lu}"))
-    joined = F.array_join(F.filter(letter_words(text), lambda t: ~name(t)), "")
-    letters, second = F.length(joined), F.length(F.regexp_replace(joined, f"[^{SECOND_LETTERS[1:]}", ""))
+    by_word = F.array_join(F.filter(letter_words(text), lambda t: ~name(t)), "")
+    return F.when(~text.rlike(LATIN) & text.rlike(UNCOMMON), by_word).otherwise(F.regexp_replace(text, WORD_OR_NOT, "$1$2"))
+
+
+def language_of(kept: Column, least: int = SEGMENT_LETTERS) -> Column:
+    """One of the two languages by the letters that `kept_letters` gives, or null where there are too few letters or both kinds."""
+    letters, second = F.length(kept), F.length(F.regexp_replace(F.regexp_replace(kept, "[a-zA-Z]+", ""), f"[^{SECOND_LETTERS[1:]}+", ""))
     share = second / F.nullif(letters, F.lit(0))
     return F.when(letters < least, None).when(share >= SECOND_SHARE, SECOND).when(share <= FIRST_SHARE, FIRST)
 
 
+def text_language(text: Column, least: int = SEGMENT_LETTERS) -> Column:
+    return language_of(kept_letters(text), least)
+
+
 def segments(texts: DataFrame) -> DataFrame:
     """document_id, place, line_no, segment_no, text, body, language: sentences in order, lines without any as one row of nulls; a text without lines is one such row of line -1."""
-    whole = F.regexp_replace(composed(F.col("text")), rf"(?:{LINE_END})\z", "")
-    lines = F.when(composed(F.col("text")) != "", F.split(whole, LINE_END))
+    texts = texts.select("document_id", "place", composed(F.col("text")).alias("text"))
+    lines = F.when(F.col("text") != "", F.split(F.regexp_replace("text", rf"(?:{LINE_END})\z", ""), LINE_END))
     lines = texts.select("document_id", "place", F.posexplode_outer(lines).alias("line_no", "line")).na.fill(-1, ["line_no"])
     parts = F.filter(F.transform(F.split(F.regexp_replace("line", "([.!?])", "$1→"), "→"), lambda x: F.btrim(x, F.lit(BULLETS))), lambda x: x != "")
     rows = lines.select("document_id", "place", "line_no", F.posexplode_outer(parts).alias("segment_no", "text"))
-    return rows.withColumn("body", F.col("text").rlike("[.!?]$")).withColumn("language", text_language(F.col("text")))
+    rows = rows.withColumn("body", F.right("text", F.lit(1)).isin(*".!?")).withColumn("kept", kept_letters(F.col("text")))
+    return rows.withColumn("language", language_of(F.col("kept"))).drop("kept")
+
+
+def spoken_lines(found: DataFrame) -> DataFrame:
+    """One row for each line of `segments`: whether it is blank, like a heading, or of both languages; the languages of its sentences in order, how many segments are in each, and the first that is in one."""
+    spoken, count = F.when(F.col("body"), F.col("language")), lambda language: F.sum(F.coalesce(F.col("language") == language, F.lit(False)).cast("long"))
+    number = F.when(F.col("language").isNotNull(), F.col("segment_no"))
+    return found.groupBy("document_id", "place", "line_no").agg(
+        (F.max(F.col("text").isNotNull()) == F.lit(False)).alias("blank"), F.coalesce(F.max(~F.col("body") & F.col("language").isNotNull()), F.lit(False)).alias("heading"), F.coalesce(F.min(spoken) != F.max(spoken), F.lit(False)).alias("mixed"),
+        F.transform(F.sort_array(F.collect_list(F.when(spoken.isNotNull(), F.struct("segment_no", spoken.alias("l"))))), lambda x: x["l"]).alias("said"),
+        count(FIRST).alias("in_first"), count(SECOND).alias("in_second"), F.min_by("language", number).alias("one"),
+    )
 
 
-def bilingual_pairs(found: DataFrame) -> DataFrame:
+def bilingual_pairs(lines: DataFrame) -> DataFrame:
     """document_id, first_to_second, second_to_first: how often a run of sentences in one language is followed by one in the other.
 
     A line with sentences of both languages is paired by itself; other lines form blocks, which end at blank and heading-like lines.
     """
     line = W.partitionBy("document_id").orderBy("place", "line_no")
-    spoken = F.when(F.col("body"), F.col("language"))
-    lines = found.where("line_no >= 0").groupBy("document_id", "place", "line_no").agg(
-        (F.max(F.col("text").isNotNull()) == F.lit(False)).alias("blank"), F.coalesce(F.max(~F.col("body") & F.col("language").isNotNull()), F.lit(False)).alias("heading"), (F.min(spoken) != F.max(spoken)).alias("mixed"),
-        F.transform(F.sort_array(F.collect_list(F.when(spoken.isNotNull(), F.struct("segment_no", spoken.alias("l"))))), lambda x: x["l"]).alias("said"),
-    ).withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    lines = lines.where("line_no >= 0")
     begins = F.col("blank") | F.col("heading") | F.col("mixed") | F.coalesce(F.lag("mixed").over(line), F.lit(False))
     blocks = lines.withColumn("block", F.sum(begins.cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
     said = blocks.select("document_id", "block", "place", "line_no", F.posexplode("said").alias("k", "l"))
@@ -79,16 +107,17 @@ def primary_language(texts: DataFrame, labels: DataFrame) -> DataFrame:
 
     texts: document_id, place, text; labels: document_id, label.
     """
-    found = segments(texts)
+    lines = cut(spoken_lines(segments(texts)))
     count = lambda column, language: F.sum((F.coalesce(column == language, F.lit(False))).cast("long"))
     own = text_language(composed(F.col("label")), LABEL_LETTERS)
     titles = labels.withColumn("l", own).groupBy("document_id").agg(count(F.col("l"), FIRST).alias("label_first"), count(F.col("l"), SECOND).alias("label_second"))
-    body = found.groupBy("document_id").agg(count(F.col("language"), FIRST).alias("body_first"), count(F.col("language"), SECOND).alias("body_second"), F.min(F.when(F.col("language").isNotNull(), F.struct("place", "line_no", "segment_no", "language"))).alias("one"))
-    rows = body.join(titles, "document_id", "left").join(bilingual_pairs(found), "document_id", "left").na.fill(0)
+    at = F.when(F.col("one").isNotNull(), F.struct("place", "line_no"))
+    body = lines.groupBy("document_id").agg(F.sum("in_first").alias("body_first"), F.sum("in_second").alias("body_second"), F.min_by("one", at).alias("one"))
+    rows = body.join(titles, "document_id", "left").join(bilingual_pairs(lines), "document_id", "left").na.fill(0)
     c = F.col
     by_label = F.when(c("label_first") + c("label_second") >= LABELS, winner(c("label_first"), c("label_second"), LABELS, LABEL_WIN))
     by_order = winner(c("first_to_second"), c("second_to_first"), PAIRS, PAIR_WIN)
-    by_body = F.when(c("body_first") > c("body_second"), FIRST).when(c("body_first") < c("body_second"), SECOND).otherwise(F.coalesce("one.language", F.lit(FIRST)))
+    by_body = F.when(c("body_first") > c("body_second"), FIRST).when(c("body_first") < c("body_second"), SECOND).otherwise(F.coalesce("one", F.lit(FIRST)))
     basis = F.when(by_label.isNotNull(), "structural").when(by_order.isNotNull(), "bilingual_order").otherwise("body_fallback")
     return rows.select("document_id", F.coalesce(by_label, by_order, by_body).alias("language"), basis.alias("basis"), "label_first", "label_second", "first_to_second", "second_to_first", "body_first", "body_second")
 

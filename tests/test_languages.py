@@ -97,3 +97,19 @@ def test_mismatch(spark):
     ]
     df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "n int, stem string, options array<string>, explanation string, language string")
     assert {r.n: r.mismatch for r in lang.mismatched(df).collect()} == {k: c[4] for k, c in enumerate(cases)}
+
+
+def test_kept_letters_in_one_pass_equal_those_word_by_word(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(9), []
+    common = "abcdeXYZ  .-1²ªĸßŉıİÿŸéÉơƠưƯẠạỹ→•●\u0301\u00b5"
+    for n in range(3000):
+        rows.append((n, "".join(rng.choices(common if n % 3 else common + "ǅⅧⅷ中Ω𝐀ſ", k=rng.randrange(0, 60)))))
+        rows.append((n, " ".join("".join(rng.choices("aB²é", k=rng.choice([1, 2, 3, 14, 15, 16, 17]))) for _ in range(4))))
+    words = re.compile(r"[^\W\d_]")  # only to see that the texts say something
+    name = lambda t: (F.length(t) <= lang.IDENTIFIER_CHARS) & (((F.upper(t) == t) & (F.lower(t) != t)) | F.substring(t, 2, 100).rlike(r"\p{Lu}"))
+    text = F.col("text")
+    df = spark.createDataFrame(rows, "n int, text string").select("text", lang.kept_letters(text).alias("got"), F.array_join(F.filter(lang.letter_words(text), lambda t: ~name(t)), "").alias("want"))
+    found = df.collect()
+    assert [r for r in found if r.got != r.want] == [] and sum(bool(words.search(r.want)) for r in found) > 3000
