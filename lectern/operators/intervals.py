@@ -24,9 +24,9 @@ def merge(intervals: DataFrame) -> DataFrame:
 
 
 def subtract(free: DataFrame, busy: DataFrame) -> DataFrame:
-    """What is free and not busy, by a sweep over the bounds: each stretch between two bounds is one or the other."""
+    """What is free and not busy, by a sweep over the bounds: each stretch between two bounds is one or the other. Bounds are dealt once, by learner and day."""
     bounds = lambda df, f, b: df.where("s < e").select(*KEY, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(f).alias("f"), F.lit(b).alias("b")), F.struct(F.col("e").alias("at"), F.lit(-f).alias("f"), F.lit(-b).alias("b")))).alias("x"))
-    events = bounds(free, 1, 0).unionByName(bounds(busy, 0, 1)).select(*KEY, "x.*").groupBy(*KEY, "at").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+    events = bounds(free, 1, 0).unionByName(bounds(busy, 0, 1)).select(*KEY, "x.*").repartition(*KEY).groupBy(*KEY, "at").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
     order = W.partitionBy(*KEY).orderBy("at")
     running = order.rowsBetween(W.unboundedPreceding, 0)
     rows = events.select(*KEY, F.col("at").alias("s"), F.lead("at").over(order).alias("e"), F.sum("f").over(running).alias("free"), F.sum("b").over(running).alias("busy"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.staging import cut
 from lectern.operators import intervals
 from lectern.sources.tables import table
 
@@ -422,19 +423,25 @@ STEP_COLUMNS = ["owner_id", "document_id", "step_no", "activity", "reason", "pre
 
 
 def _planned(spark: SparkSession, d: str) -> DataFrame:
+    """Staged, since a schedule reads it twice."""
     planned = study_steps(_materials(spark, d))
-    return with_steps(planned, combine(step_rows(planned)))
+    return cut(with_steps(planned, combine(step_rows(planned))))
 
 
 def _scheduled(spark: SparkSession, d: str) -> DataFrame:
     return schedule(_planned(spark, d), _spans(spark, d))
 
 
+def _capacity(spark: SparkSession, d: str) -> DataFrame:
+    planned, spans = _planned(spark, d), cut(_spans(spark, d))
+    return capacity_report(planned, schedule(planned, spans), spans)
+
+
 QUERIES = {
     "study_steps": lambda s, d: step_rows(study_steps(_materials(s, d))).select(*STEP_COLUMNS),
     "combined_steps": lambda s, d: combine(step_rows(study_steps(_materials(s, d)))).select(*STEP_COLUMNS),
     "plan_schedule": lambda s, d: _scheduled(s, d),
-    "capacity_report": lambda s, d: capacity_report(_materials(s, d), _scheduled(s, d), _spans(s, d)),
+    "capacity_report": _capacity,
     "deadline_risks": lambda s, d: deadline_risks(_scheduled(s, d)),
 }
 

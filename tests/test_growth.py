@@ -1,8 +1,9 @@
 """What moves between tasks stays in proportion to the input; results by brute force."""
 
 import random
+from datetime import date
 
-from lectern.operators import evidence, upkeep
+from lectern.operators import evidence, intervals, upkeep
 
 
 def shuffled(spark, df):
@@ -65,3 +66,17 @@ def test_runs_of_an_alignment_equal_those_of_difflib():
             quote = quote[:p] + rng.choice(["xq", "", "a"]) + quote[p + rng.randrange(3) :]
         blocks = difflib.SequenceMatcher(None, text, quote, autojunk=False).get_matching_blocks()
         assert list(evidence.runs_of(text, quote, 0, len(text), 0, len(quote))) == [(b.a, b.size) for b in blocks if b.size >= evidence.RUN_CHARS]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_free_time_is_dealt_once(spark):
+    rows = [(n % 7, date(2024, 1, 1 + n % 5), n * 37 % 900, n * 37 % 900 + 60 + n % 50) for n in range(400)]
+    df = spark.createDataFrame(rows, "owner_id int, day date, s int, e int")
+    free, busy = df.where("s % 2 = 0"), df.where("s % 2 = 1")
+    found = intervals.subtract(free, busy)
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    minutes = lambda odd: {(o, d, m) for o, d, s, e in rows if s % 2 == odd for m in range(s, e)}
+    assert {(r.owner_id, r.day, m) for r in found.collect() for m in range(r.s, r.e)} == minutes(0) - minutes(1)
