@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.staging import cut
 from lectern.operators import intervals, scheduling
 from lectern.sources.tables import table
 
@@ -31,6 +32,9 @@ def placement_faults(placements: DataFrame, own: DataFrame, external: DataFrame,
 
     taken: owner_id, day, s, e of sessions; now: the minute of the day `today`.
     """
+    placements = cut(placements)
+    asked = placements.select(*intervals.KEY).distinct()
+    own, external, taken = (x.join(asked, intervals.KEY, "left_semi") for x in (own, external, taken))  # other days decide nothing
     rows = placements.withColumn("e", F.col("s") + F.col("minutes"))
     rows = held_by(held_by(rows, own, "_own"), intervals.subtract(own, external), "_free")
     busy = taken.where("s < e").groupBy("owner_id", "day").agg(F.collect_list(F.struct("s", "e")).alias("_taken"))
@@ -73,7 +77,7 @@ def settle(entries: list[dict]) -> list[str]:
 def apply_placements(scheduled: DataFrame, wished: DataFrame, own: DataFrame, external: DataFrame, taken: DataFrame, today: str, now: int) -> DataFrame:
     """The schedule after a learner's wishes (owner_id, key, seq, day, s): the last one for a key counts. One row for each activity and each wish that names none: owner_id, key, day, s, e, minutes, placed, fault."""
     last = wished.groupBy("owner_id", "key").agg(F.max_by(F.struct("day", "s"), "seq").alias("w")).select("owner_id", "key", "w.day", "w.s")
-    entries = keyed(scheduled).select("owner_id", "key", "place", "minutes", "deadline", F.col("day").alias("was_day"), F.col("s").alias("was_s"))
+    entries = cut(keyed(scheduled).select("owner_id", "key", "place", "minutes", "deadline", F.col("day").alias("was_day"), F.col("s").alias("was_s")))
     named = placement_faults(last.join(entries.select("owner_id", "key", "minutes", "deadline"), ["owner_id", "key"]), own, external, taken, today, now).select("owner_id", "key", F.col("day").alias("to_day"), F.col("s").alias("to_s"), "fault", F.lit(True).alias("wish"))
     at = lambda day, s: F.datediff(day, F.lit(today).cast("date")) * 1440 + F.col(s)
     rows = entries.join(named, ["owner_id", "key"], "left").withColumn("placed", F.coalesce(F.col("wish") & F.col("fault").isNull(), F.lit(False)))

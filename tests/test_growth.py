@@ -3,7 +3,9 @@
 import random
 from datetime import date
 
-from lectern.operators import evidence, intervals, upkeep
+from pyspark.sql import functions as F
+
+from lectern.operators import evidence, intervals, placement, upkeep
 
 
 def shuffled(spark, df):
@@ -80,3 +82,13 @@ def test_free_time_is_dealt_once(spark):
     assert plan_of(found).count("Exchange hashpartitioning") == 1
     minutes = lambda odd: {(o, d, m) for o, d, s, e in rows if s % 2 == odd for m in range(s, e)}
     assert {(r.owner_id, r.day, m) for r in found.collect() for m in range(r.s, r.e)} == minutes(0) - minutes(1)
+
+
+def test_placements_read_the_schedule_once(spark):
+    day = date(2024, 1, 1)
+    scheduled = spark.createDataFrame([(1, "a", 0, "quiz", "r", 30, day, day, 540, 570, 1.0)], "owner_id int, document_id string, step_no int, activity string, reason string, minutes int, deadline date, day date, s int, e int, priority double")
+    wished = spark.createDataFrame([(1, "a|quiz|0", 0, day, 600)], "owner_id int, key string, seq int, day date, s int")
+    own = spark.createDataFrame([(1, day, 480, 1200)], "owner_id int, day date, s int, e int")
+    found = placement.apply_placements(scheduled.withColumn("reason", F.concat("reason", F.rand(7).cast("string"))).where("reason > 'r'"), wished, own, own.limit(0), own.limit(0), str(day), 0)
+    assert "rand(7)" not in plan_of(found)
+    assert [(r.key, r.s, r.placed, r.fault) for r in found.collect()] == [("a|quiz|0", 600, True, None)]
