@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from lectern.operators import evidence, intervals, placement, upkeep
+from lectern.operators import evidence, intervals, placement, seeds, structure, upkeep
 
 
 def shuffled(spark, df):
@@ -92,3 +92,8 @@ def test_placements_read_the_schedule_once(spark):
     found = placement.apply_placements(scheduled.withColumn("reason", F.concat("reason", F.rand(7).cast("string"))).where("reason > 'r'"), wished, own, own.limit(0), own.limit(0), str(day), 0)
     assert "rand(7)" not in plan_of(found)
     assert [(r.key, r.s, r.placed, r.fault) for r in found.collect()] == [("a|quiz|0", 600, True, None)]
+
+
+def test_headings_are_found_once(spark, data):
+    for query in (structure.QUERIES["topic_chunks"], seeds.QUERIES["topic_evidence"], seeds.QUERIES["usable_topics"]):
+        assert "ofthe Rest" not in plan_of(query(spark, data))  # text that only pages and their headings are made of
